@@ -25,6 +25,13 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: computed once, survives the loss of executors."""
+    """Reliable checkpoint: computed once, survives the loss of executors.
+
+    A frame settled before is returned as it is.
+    """
+    if getattr(df, "_settled", False):
+        return df
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    out._settled = True
+    return out

@@ -61,6 +61,13 @@ def _chunked(df: DataFrame, order: str) -> DataFrame | None:
     return add_chunk(df, order, cuts, "_chunk")
 
 
+_RUNNING = {
+    "sum": (F.sum, lambda a, b: a + F.coalesce(b, F.lit(0))),
+    "min": (F.min, F.least),
+    "max": (F.max, F.greatest),
+}
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -69,8 +76,9 @@ def running_totals(
     *,
     descending: bool = False,
     chunk: Column | None = None,
+    how: str = "sum",
 ) -> DataFrame:
-    """Add inclusive running sums per ``keys`` along a numeric ``order``.
+    """Add inclusive running sums (or minima, maxima) per ``keys`` along numeric ``order``.
 
     ``df`` holds one row per (keys, order).  ``sums`` maps new column -> summed
     column.  ``chunk`` replaces the cut points by a given monotone expression
@@ -78,6 +86,7 @@ def running_totals(
     """
     keys = list(keys)
     direction = F.desc if descending else F.asc
+    fold, combine = _RUNNING[how]
     if chunk is not None:
         cut = df.withColumn("_chunk", chunk)
     else:
@@ -88,28 +97,26 @@ def running_totals(
                 W.partitionBy(*keys).orderBy(direction(order))
                 .rowsBetween(W.unboundedPreceding, W.currentRow)
             )
-            return df.select("*", *[F.sum(src).over(frame).alias(out) for out, src in sums.items()])
+            return df.select("*", *[fold(src).over(frame).alias(out) for out, src in sums.items()])
     totals = cut.groupBy(*keys, "_chunk").agg(
-        *[F.sum(src).alias(f"_t_{out}") for out, src in sums.items()]
+        *[fold(src).alias(f"_t_{out}") for out, src in sums.items()]
     )
     before = (
         W.partitionBy(*keys).orderBy(direction("_chunk")).rowsBetween(W.unboundedPreceding, -1)
     )
     offsets = totals.select(
-        *keys,
-        "_chunk",
-        *[F.coalesce(F.sum(f"_t_{out}").over(before), F.lit(0)).alias(f"_o_{out}") for out in sums],
+        *keys, "_chunk", *[fold(f"_t_{out}").over(before).alias(f"_o_{out}") for out in sums]
     )
     inside = (
         W.partitionBy(*keys, "_chunk").orderBy(direction(order))
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     local = cut.select(
-        "*", *[F.sum(src).over(inside).alias(f"_l_{out}") for out, src in sums.items()]
+        "*", *[fold(src).over(inside).alias(f"_l_{out}") for out, src in sums.items()]
     )
     return local.join(offsets, [*keys, "_chunk"]).select(
         *[F.col(c) for c in df.columns],
-        *[(F.col(f"_l_{out}") + F.col(f"_o_{out}")).alias(out) for out in sums],
+        *[combine(F.col(f"_l_{out}"), F.col(f"_o_{out}")).alias(out) for out in sums],
     )
 
 
