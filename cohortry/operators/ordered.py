@@ -76,12 +76,13 @@ def running_totals(
     *,
     descending: bool = False,
     chunk: Column | None = None,
+    ties: Sequence[str] = (),
     how: str = "sum",
 ) -> DataFrame:
     """Add inclusive running sums (or minima, maxima) per ``keys`` along numeric ``order``.
 
-    ``df`` holds one row per (keys, order).  ``sums`` maps new column -> summed
-    column.  ``chunk`` replaces the cut points by a given monotone expression
+    ``df`` holds one row per (keys, order, ties).  ``sums`` maps new column ->
+    summed column.  ``chunk`` replaces the cut points by a given monotone expression
     (hash prefixes are balanced by nature and need no statistics).
     """
     keys = list(keys)
@@ -94,7 +95,7 @@ def running_totals(
         cut = _chunked(df, order)
         if cut is None:
             frame = (
-                W.partitionBy(*keys).orderBy(direction(order))
+                W.partitionBy(*keys).orderBy(direction(order), *ties)
                 .rowsBetween(W.unboundedPreceding, W.currentRow)
             )
             return df.select("*", *[fold(src).over(frame).alias(out) for out, src in sums.items()])
@@ -108,7 +109,7 @@ def running_totals(
         *keys, "_chunk", *[fold(f"_t_{out}").over(before).alias(f"_o_{out}") for out in sums]
     )
     inside = (
-        W.partitionBy(*keys, "_chunk").orderBy(direction(order))
+        W.partitionBy(*keys, "_chunk").orderBy(direction(order), *ties)
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     local = cut.select(
@@ -159,7 +160,8 @@ def value_ranks(
     counts = settle(df.groupBy(*keys, value).agg(w.alias("ties")))
     ranked = running_totals(counts, keys, value, {"upto": "ties"})
     totals = counts.groupBy(*keys).agg(F.sum("ties").alias("total"))
-    return ranked.join(totals, keys).withColumn("below", F.col("upto") - F.col("ties"))
+    ranked = ranked.join(totals, keys) if keys else ranked.withColumn("total", totals.scalar())
+    return ranked.withColumn("below", F.col("upto") - F.col("ties"))
 
 
 def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
@@ -210,5 +212,14 @@ def hash_row_number(
     hashed = df.withColumn("_h", F.md5(F.concat(F.lit(salt), F.col(unit).cast("string"))))
     hashed = hashed.withColumn("_one", F.lit(1).cast("bigint"))
     prefix = F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")
-    ranked = running_totals(hashed, keys, "_h", {out: "_one"}, chunk=prefix)
+    ranked = running_totals(hashed, keys, "_h", {out: "_one"}, chunk=prefix, ties=[unit])
     return ranked.drop("_h", "_one")
+
+
+def row_number(
+    df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str] = (), out: str = "rn"
+) -> DataFrame:
+    """Row number per ``keys`` along a numeric order, chunked when the input is large."""
+    return running_totals(
+        df.withColumn("_one", F.lit(1).cast("bigint")), keys, order, {out: "_one"}, ties=ties
+    ).drop("_one")
