@@ -178,15 +178,15 @@ def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str)
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float]
+    df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float], *, weight: str | None = None
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per ``keys`` without one big buffer.
 
     Only the (at most two) distinct values around each wanted position survive
-    the filter before the last aggregation.
+    the filter before the last aggregation.  An integer ``weight`` repeats rows.
     """
     keys = list(keys)
-    ranked = value_ranks(df.where(F.col(value).isNotNull()), keys, value)
+    ranked = value_ranks(df.where(F.col(value).isNotNull()), keys, value, weight=weight)
     columns = []
     wanted = F.lit(False)
     for name, q in quantiles.items():

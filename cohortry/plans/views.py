@@ -159,7 +159,7 @@ SQL = {
  sum(l_quantity) as value from ({_CUSTOMER_BRAND}) group by 1,2""",
     "seqs": """select doc_id sample_id, upper(trim(w)) seq from
  (select doc_id, unnest(regexp_split_to_array(text,'[ \\n]+')) w from documents) where regexp_full_match(w,'[A-Za-z]+')""",
-    "repeats": """select user_id sample_id, event_type, day(ts)%20 repeat_seed, avg(value) risk_score
+    "repeats": """select user_id sample_id, event_type, cast(day(ts)%20 as int) repeat_seed, avg(value) risk_score
  from events group by 1,2,3""",
     "responses": """select event_id sample_id, event_type, cast(json_extract(props,'$.k') as double)/100 support_score, value from events""",
 }
