@@ -48,3 +48,24 @@ def any_of(*conditions: Column) -> Column:
 
 def count_true(*conditions: Column) -> Column:
     return reduce(lambda a, b: a + b, [c.cast("int") for c in conditions])
+
+
+def fixed3(value: Column) -> Column:
+    """Three decimals as text, rounding the exact binary value.
+
+    Formatting functions round the shortest decimal form instead, which differs
+    for values such as 0.5175.  value * 2^60 is exact for |value| < 4, so the
+    rounding is done on that integer.
+    """
+    exact = F.floor(F.abs(value) * F.lit(2.0**60)).cast("decimal(20,0)")
+    unit = F.lit(2**60).cast("decimal(20,0)")
+    shifted = (exact * 2000 + unit).cast("decimal(38,0)")
+    double_unit = (unit * 2).cast("decimal(38,0)")
+    up = F.call_function("div", shifted, double_unit).cast("bigint")
+    tie = shifted % double_unit == 0  # an exact tie goes to the even digit
+    thousandths = F.when(tie & (up % 2 == 1), up - 1).otherwise(up)
+    whole = F.floor(thousandths / 1000).cast("bigint").cast("string")
+    return F.concat(
+        F.when(value < 0, "-").otherwise(""), whole, F.lit("."),
+        F.lpad((thousandths % 1000).cast("string"), 3, "0"),
+    )

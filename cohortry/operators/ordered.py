@@ -150,18 +150,18 @@ def ordered_pair_sum(
 def value_ranks(
     df: DataFrame, keys: Sequence[str], value: str, *, weight: str | None = None
 ) -> DataFrame:
-    """One row per (keys, value): ``ties``, ``below`` (strictly lower), ``upto``, ``total``.
+    """One row per (keys, value): ``_ties``, ``_below`` (strictly lower), ``_upto``, ``_total``.
 
-    ``below + 1`` is the minimum rank, ``below + (ties + 1) / 2`` the average
-    rank and ``upto`` the maximum rank.
+    ``_below + 1`` is the minimum rank, ``below + (ties + 1) / 2`` the average
+    rank and ``_upto`` the maximum rank.
     """
     keys = list(keys)
     w = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = settle(df.groupBy(*keys, value).agg(w.alias("ties")))
-    ranked = running_totals(counts, keys, value, {"upto": "ties"})
-    totals = counts.groupBy(*keys).agg(F.sum("ties").alias("total"))
-    ranked = ranked.join(totals, keys) if keys else ranked.withColumn("total", totals.scalar())
-    return ranked.withColumn("below", F.col("upto") - F.col("ties"))
+    counts = settle(df.groupBy(*keys, value).agg(w.alias("_ties")))
+    ranked = running_totals(counts, keys, value, {"_upto": "_ties"})
+    totals = counts.groupBy(*keys).agg(F.sum("_ties").alias("_total"))
+    ranked = ranked.join(totals, keys) if keys else ranked.withColumn("_total", totals.scalar())
+    return ranked.withColumn("_below", F.col("_upto") - F.col("_ties"))
 
 
 def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
@@ -170,9 +170,9 @@ def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str)
     ranks = value_ranks(df, keys, value).select(
         *keys,
         value,
-        (F.col("below") + (F.col("ties") + 1) / 2.0).alias(out),
-        F.col("total").alias("_n"),
-        F.col("upto").alias("_upto"),
+        (F.col("_below") + (F.col("_ties") + 1) / 2.0).alias(out),
+        F.col("_total").alias("_n"),
+        F.col("_upto"),
     )
     return df.join(ranks, [*keys, value])
 
@@ -190,10 +190,10 @@ def exact_quantiles(
     columns = []
     wanted = F.lit(False)
     for name, q in quantiles.items():
-        position = F.lit(q) * (F.col("total") - 1)
+        position = F.lit(q) * (F.col("_total") - 1)
         low, high = F.floor(position), F.ceil(position)
-        has_low = (F.col("below") <= low) & (low < F.col("upto"))
-        has_high = (F.col("below") <= high) & (high < F.col("upto"))
+        has_low = (F.col("_below") <= low) & (low < F.col("_upto"))
+        has_high = (F.col("_below") <= high) & (high < F.col("_upto"))
         wanted = wanted | has_low | has_high
         lo = F.max(F.when(has_low, F.col(value)))
         hi = F.max(F.when(has_high, F.col(value)))

@@ -67,7 +67,7 @@ def kruskal_wallis(df: DataFrame, keys: Sequence[str], group: str, value: str) -
     keys = list(keys)
     cells = df.groupBy(*keys, group, value).agg(F.count(F.lit(1)).alias("c"))
     ranks = value_ranks(cells, keys, value, weight="c")
-    mean_rank = F.col("below") + (F.col("ties") + 1) / 2.0
+    mean_rank = F.col("_below") + (F.col("_ties") + 1) / 2.0
     per_group = (
         cells.join(ranks.select(*keys, value, mean_rank.alias("_r")), [*keys, value])
         .groupBy(*keys, group)
@@ -78,13 +78,13 @@ def kruskal_wallis(df: DataFrame, keys: Sequence[str], group: str, value: str) -
         F.sum("n").alias("n"),
         F.sum(F.col("r") * F.col("r") / F.col("n")).alias("_s"),
     )
-    t = F.col("ties").cast("double")
+    t = F.col("_ties").cast("double")
     ties = ranks.groupBy(*keys).agg(
-        F.sum(t * t * t - t).alias("_ties"), F.count(F.lit(1)).alias("_values")
+        F.sum(t * t * t - t).alias("_tie_term"), F.count(F.lit(1)).alias("_values")
     )
     n = F.col("n").cast("double")
     raw = F.lit(12.0) / (n * (n + 1)) * F.col("_s") - 3 * (n + 1)
-    h = F.when(F.col("_values") <= 1, 0.0).otherwise(raw / (1 - F.col("_ties") / (n * n * n - n)))
+    h = F.when(F.col("_values") <= 1, 0.0).otherwise(raw / (1 - F.col("_tie_term") / (n * n * n - n)))
     tested = groups.join(ties, keys).withColumn("h_statistic", h)
     p = F.when(F.col("_values") <= 1, 1.0).otherwise(
         chi2_tail(F.col("h_statistic"), F.col("groups") - 1)
@@ -100,7 +100,7 @@ def bh_adjust(df: DataFrame, keys: Sequence[str], p: str, out: str = "p_adjusted
     """Benjamini-Hochberg: running minimum of p * m / rank from the largest p down."""
     keys = list(keys)
     ranks = value_ranks(df.where(F.col(p).isNotNull() & ~F.isnan(p)), keys, p)
-    stepped = ranks.withColumn("_step", F.col(p) * F.col("total") / F.col("upto"))
+    stepped = ranks.withColumn("_step", F.col(p) * F.col("_total") / F.col("_upto"))
     adjusted = running_totals(
         stepped.select(*keys, p, "_step"), keys, p, {"_q": "_step"}, descending=True, how="min"
     )

@@ -141,7 +141,7 @@ def spearman_metric(left: str, right: str) -> Metric:
         base = df.select(*keys, left, right, w)
         for column, out in ((left, "_ra"), (right, "_rb")):
             ranks = value_ranks(base, keys, column, weight=w)
-            rank = F.col("below") + (F.col("ties") + 1) / 2.0 - F.col("total") / 2.0
+            rank = F.col("_below") + (F.col("_ties") + 1) / 2.0 - F.col("_total") / 2.0
             base = base.join(ranks.select(*keys, column, rank.alias(out)), [*keys, column])
         return base.groupBy(*keys).agg(
             weighted_correlation(F.col("_ra"), F.col("_rb"), F.col(w)).alias("value"),

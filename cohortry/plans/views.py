@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.fixed_values import EXPRESSION_PROGRAMS
+from ..functions.fixed_values import ALTERATION_PROGRAMS, ALTERATION_THEMES, EXPRESSION_PROGRAMS
 from ..functions.scalars import hash32
 
 MODELS = ("base", "price", "disc", "fixed__lines")
@@ -182,3 +182,18 @@ def with_views(query: str, *names: str, recursive: bool = False) -> str:
         body = body[5:]
         return f"{word} {ctes},\n{body}"
     return f"{word} {ctes}\n{body}"
+
+
+ALTERED_GENES = sorted({g for t in (ALTERATION_PROGRAMS, ALTERATION_THEMES) for genes in t.values() for g in genes})
+SQL["mutations"] = f"""select distinct unit_id, ([{','.join("'" + g + "'" for g in ALTERED_GENES)}])[p_partkey % {len(ALTERED_GENES)} + 1] gene
+ from ({_CUSTOMER_BRAND}) where l_quantity > 35"""
+
+
+def mutations(spark: SparkSession, sf: str) -> DataFrame:
+    """Binary alterations: customers x alteration genes bought in large quantity."""
+    names = F.array(*[F.lit(g) for g in ALTERED_GENES])
+    index = (F.col("p_partkey") % len(ALTERED_GENES) + 1).cast("int")
+    return (
+        _customer_brand(spark, sf).where("l_quantity > 35")
+        .select("unit_id", F.element_at(names, index).alias("gene")).distinct()
+    )
