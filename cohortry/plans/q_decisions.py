@@ -340,7 +340,8 @@ def _pairs_sql(g: str, d: str) -> str:
 _CL = f"cl as ({_CLIN.replace(' as string', ' as varchar')}), ev0 as (select *, {_pairs_sql('grade1','date1')} p1, {_pairs_sql('grade2','date2')} p2 from cl)"
 
 
-@query("n01_numeric_tokens", f"with {_CL} select unit_id, array_to_string([x::int for x in {_tok('grade1')}],',') grades, array_to_string([x::int for x in {_tok('date1', True)}],',') as "days" from cl")
+@query("n01_numeric_tokens", f"""with {_CL} select unit_id, array_to_string([x::int for x in {_tok('grade1')}],',') grades,
+ array_to_string([x::int for x in {_tok('date1', True)}],',') as "days" from cl""")
 def n01(spark, sf):
     ints = lambda a: F.array_join(F.transform(a, lambda x: x.cast("int").cast("string")), ",")
     return clinical(spark, sf).select(
