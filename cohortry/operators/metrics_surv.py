@@ -315,8 +315,12 @@ def ipcw_calibration(
         safe_ratio(F.sum("_wy"), F.sum("_w")).alias("observed_risk"),
         (F.sum(F.col("_r") * F.col("_c")) / F.sum("_c")).alias("mean_predicted"),
     )
+    start = F.log(F.col("observed_risk") / (1 - F.col("observed_risk")))
+    inside = (F.col("observed_risk") > 0) & (F.col("observed_risk") < 1)
     params = settle(
-        summary.select(*keys, F.lit(0.0).alias("a"), F.lit(1.0).alias("b"), F.lit(1.0).alias("move"))
+        summary.where(inside).select(
+            *keys, start.alias("a"), F.lit(0.0).alias("b"), F.lit(1.0).alias("move")
+        )
     )
     for _ in range(iterations):
         p = 1 / (1 + F.exp(-(F.col("a") + F.col("b") * F.col("_x"))))

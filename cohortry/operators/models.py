@@ -33,7 +33,7 @@ def factories(rounds: int = 100) -> dict[str, tuple[Callable, bool]]:
         "LR": (lambda n, p: LogisticRegression(
             featuresCol="x", labelCol="outcome", regParam=1.0 / n, standardization=False, maxIter=200), True),
         "SVM": (lambda n, p: LinearSVC(
-            featuresCol="x", labelCol="outcome", regParam=1.0 / n, standardization=False, maxIter=100), True),
+            featuresCol="x", labelCol="outcome", regParam=1.0 / n, standardization=False, maxIter=50), True),
         "RF": (lambda n, p: RandomForestClassifier(
             featuresCol="x", labelCol="outcome", numTrees=100, seed=SEED), False),
         "MLP": (lambda n, p: MultilayerPerceptronClassifier(

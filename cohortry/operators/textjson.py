@@ -106,7 +106,7 @@ def trailing_object(text: Column) -> Column:
         lambda i: F.concat(F.lit("{"), F.array_join(F.slice(parts, i, F.size(parts)), "{")),
     )
     valid = F.filter(suffixes, lambda s: F.json_object_keys(s).isNotNull() & F.try_parse_json(s).isNotNull())
-    return F.when(F.size(parts) > 1, F.rtrim(F.get(valid, F.lit(0))))
+    return F.when(F.size(parts) > 1, F.regexp_replace(F.get(valid, F.lit(0)), r"\s+$", ""))
 
 
 def strip_fences(text: Column) -> Column:
