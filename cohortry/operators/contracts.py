@@ -163,7 +163,10 @@ def class_support(df: DataFrame, keys: Sequence[str], fold: str = "fold", outcom
         F.sum(outcome).alias("_p"), F.sum(1 - F.col(outcome)).alias("_n")
     )
     total = per_fold.groupBy(*keys).agg(F.sum("_p").alias("_tp"), F.sum("_n").alias("_tn"))
-    joined = per_fold.join(total, keys) if keys else per_fold.crossJoin(total)
+    if keys:
+        joined = per_fold.join(total, keys)
+    else:
+        joined = per_fold.withColumns({c: total.select(c).scalar() for c in ("_tp", "_tn")})
     sides = {
         "test_positive": F.col("_p"),
         "test_negative": F.col("_n"),

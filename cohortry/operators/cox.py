@@ -89,7 +89,7 @@ def fit(
 
     data = settle(data.withColumns({
         f"z{i}": (F.col(c) - pick(mean[:, i])) / pick(sd[:, i]) for i, c in enumerate(covariates)
-    }).select("k", "_g", "_t", "_e", *[f"z{i}" for i in range(p)]))
+    }).select("k", "_g", "_t", "_e", *[f"z{i}" for i in range(p)])).persist()
     beta = np.zeros((len(keys), p))
     hessian = None
     for step in range(1, iterations + 1):
@@ -104,6 +104,7 @@ def fit(
             break
     else:
         raise ValueError("Cox fit did not converge")
+    data.unpersist()
     inverse = np.linalg.inv(hessian)
     variance = inverse / (sd[:, :, None] * sd[:, None, :])
     return CoxFit(covariates, keys, beta / sd, mean, sd, variance, step)

@@ -31,22 +31,17 @@ def set_dim(spark: SparkSession, sets: Mapping[str, Sequence[str]], name: str =
 # ------------------------------------------------------------- repertoires
 
 
-def windows3(seqs: DataFrame, sample: str = "sample_id", seq: str = "seq") -> DataFrame:
-    """Every 3-letter window inside each sequence longer than three."""
-    s = F.upper(F.trim(F.col(seq)))
-    eligible = seqs.select(sample, s.alias("_s")).where(F.length("_s") > 3)
-    pieces = F.transform(
-        F.sequence(F.lit(1), F.length("_s") - 2), lambda i: F.substring(F.col("_s"), i, F.lit(3))
-    )
-    return eligible.select(sample, F.explode(pieces).alias("triplet"))
-
-
-def is_valid_triplet(column: str = "triplet") -> Column:
-    return F.col(column).rlike(f"^[{fv.AMINO_ACIDS}]{{3}}$")
-
-
-def triplet_counts(seqs: DataFrame, sample: str = "sample_id") -> DataFrame:
-    return windows3(seqs, sample).where(is_valid_triplet()).groupBy(sample, "triplet").agg(
+def triplet_counts(seqs: DataFrame, sample: str = "sample_id", seq: str = "seq") -> DataFrame:
+    """(sample, triplet, count) of the valid 3-letter windows inside sequences longer than three.
+
+    Letters outside the alphabet are masked once per sequence, so each window
+    needs only a cheap containment test.
+    """
+    masked = F.regexp_replace(F.upper(F.trim(F.col(seq))), f"[^{fv.AMINO_ACIDS}]", "*")
+    eligible = seqs.select(sample, masked.alias("_s")).where(F.length("_s") > 3)
+    at = eligible.select(sample, "_s", F.explode(F.sequence(F.lit(1), F.length("_s") - 2)).alias("_i"))
+    windows = at.select(sample, F.expr("substring(_s, _i, 3)").alias("triplet"))
+    return windows.where(F.instr("triplet", "*") == 0).groupBy(sample, "triplet").agg(
         F.count(F.lit(1)).alias("count")
     )
 
@@ -70,12 +65,14 @@ def vocabulary(spark: SparkSession) -> DataFrame:
 
 
 def repertoire_qc(seqs: DataFrame, sample: str = "sample_id") -> DataFrame:
-    """Eligible sequences, valid and invalid windows, all from per-sequence sums."""
+    """Eligible sequences, valid and invalid windows, all from per-sequence sums.
+
+    A run of k valid letters holds k - 2 valid windows, so the windows are
+    counted without being built.
+    """
     s = F.upper(F.trim(F.col("seq")))
-    valid = F.size(F.filter(
-        F.sequence(F.lit(1), F.length("_s") - 2),
-        lambda i: F.substring(F.col("_s"), i, F.lit(3)).rlike(f"^[{fv.AMINO_ACIDS}]{{3}}$"),
-    ))
+    runs = F.split(F.col("_s"), f"[^{fv.AMINO_ACIDS}]+")
+    valid = F.aggregate(runs, F.lit(0), lambda t, r: t + F.greatest(F.lit(0), F.length(r) - 2))
     rows = seqs.select(sample, s.alias("_s")).where(F.length("_s") > 3).select(
         sample, valid.alias("_v"), (F.length("_s") - 2).alias("_n")
     )

@@ -124,7 +124,10 @@ def delta_to_reference(
 ) -> DataFrame:
     """Metric minus the reference model's metric with the same keys."""
     ref = metrics.where(F.col(model) == reference).select(*keys, F.col(value).alias("reference"))
-    joined = metrics.join(ref, list(keys), "left") if keys else metrics.crossJoin(ref)
+    if keys:
+        joined = metrics.join(ref, list(keys), "left")
+    else:
+        joined = metrics.withColumn("reference", ref.scalar())
     return joined.withColumn("delta", F.col(value) - F.col("reference"))
 
 

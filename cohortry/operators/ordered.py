@@ -206,12 +206,12 @@ def hash_row_number(
 ) -> DataFrame:
     """Row number of unique ``unit`` per ``keys`` in the order of md5(salt || unit).
 
-    MD5 prefixes are uniform, so the first three hex digits are ready-made
+    MD5 prefixes are uniform, so the first four hex digits are ready-made
     balanced chunks: no statistics and no single-task sort.
     """
     hashed = df.withColumn("_h", F.md5(F.concat(F.lit(salt), F.col(unit).cast("string"))))
     hashed = hashed.withColumn("_one", F.lit(1).cast("bigint"))
-    prefix = F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")
+    prefix = F.conv(F.substring("_h", 1, 4), 16, 10).cast("int")
     ranked = running_totals(hashed, keys, "_h", {out: "_one"}, chunk=prefix, ties=[unit])
     return ranked.drop("_h", "_one")
 

@@ -101,7 +101,8 @@ def pca(vectors: DataFrame, folds: Sequence[int], components: int = 10) -> DataF
     parts = vectors.select("fold", "features").mapInPandas(partial, schema)
     train = _with_folds(parts, folds).where(F.col("k") != F.col("fold"))
 
-    def decompose(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def decompose(pdf: pd.DataFrame) -> pd.DataFrame:
+        fold = int(pdf["k"].iloc[0])
         n = pdf["n"].sum()
         mean = np.vstack(pdf["s"].to_numpy()).sum(axis=0) / n
         p = len(mean)
@@ -115,7 +116,7 @@ def pca(vectors: DataFrame, folds: Sequence[int], components: int = 10) -> DataF
         for i, j in enumerate(order):
             v = axes[:, j] * np.sign(axes[np.argmax(np.abs(axes[:, j])), j])
             rows.append({
-                "k": int(key[0]), "component": i + 1, "loadings": list(v),
+                "k": fold, "component": i + 1, "loadings": list(v),
                 "explained": float(values[j] / values.sum()), "mean": list(mean), "scale": list(scale),
             })
         return pd.DataFrame(rows)

@@ -127,7 +127,10 @@ def zscore(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFra
         *[F.avg(v).alias(f"_m_{v}") for v in values],
         *[F.stddev_samp(v).alias(f"_s_{v}") for v in values],
     )
-    joined = df.join(stats, list(keys)) if keys else df.crossJoin(stats)
+    if keys:
+        joined = df.join(stats, list(keys))
+    else:
+        joined = df.withColumns({c: stats.select(c).scalar() for c in stats.columns})
     for v in values:
         sd = F.col(f"_s_{v}")
         scaled = (F.col(v) - F.col(f"_m_{v}")) / F.when(sd == 0, 1.0).otherwise(sd)

@@ -133,10 +133,10 @@ def test_first_object_in_prose(spark):
 
 
 def test_decisions(spark):
-    df = spark.createDataFrame([(0.5, 0.46), (0.5, 0.47), (0.9, 0.1)], "s double, r double")
+    df = spark.createDataFrame([(0.5, 0.45), (0.5, 0.47), (0.9, 0.1)], "s double, r double")
     out = fm.with_formulas(df, fm.margin_decision("s", "r", "0.04")).toPandas()
     assert out.prediction.tolist() == ["positive", "negative", "positive"]
-    assert out.confidence.tolist() == [0.5, 0.509, 0.95]
+    assert out.confidence.tolist() == [0.509, 0.509, 0.95]
     risk = spark.createDataFrame([(1.4,), (0.33,), (0.5,)], "s double")
     out = fm.with_formulas(risk, fm.risk_decision("s")).toPandas()
     assert out.risk_group.tolist() == ["high", "low", "intermediate"] and out.risk_score.tolist() == [1.0, 0.33, 0.5]
