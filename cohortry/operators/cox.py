@@ -87,9 +87,9 @@ def fit(
             out = F.when(cond, F.lit(float(v))) if out is None else out.when(cond, F.lit(float(v)))
         return out
 
-    data = settle(data.withColumns({
+    data = data.withColumns({
         f"z{i}": (F.col(c) - pick(mean[:, i])) / pick(sd[:, i]) for i, c in enumerate(covariates)
-    }).select("k", "_g", "_t", "_e", *[f"z{i}" for i in range(p)])).persist()
+    }).select("k", "_g", "_t", "_e", *[f"z{i}" for i in range(p)]).persist()
     beta = np.zeros((len(keys), p))
     hessian = None
     for step in range(1, iterations + 1):

@@ -44,7 +44,7 @@ def hybrid(model: DataFrame, rule: DataFrame, unit: str, columns: Sequence[str])
     return joined.select(unit, *pick, mode.alias("mode"))
 
 
-def _classification(calls: bool = True) -> list[Column]:
+def _classification() -> list[Column]:
     y, c = F.col("true_label"), F.col("call")
     t = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
     tp, tn = t((y == 1) & (c == 1)), t((y == 0) & (c == 0))

@@ -29,7 +29,10 @@ def grade_date_events(grade: Column, date: Column) -> Column:
     Equal lengths pair up, one grade goes with every date, one date takes the
     maximum grade; any other shape is an error.
     """
-    g, d = numeric_tokens(grade), numeric_tokens(date, signed=True)
+    return _align(numeric_tokens(grade), numeric_tokens(date, signed=True), grade, date)
+
+
+def _align(g: Column, d: Column, grade: Column, date: Column) -> Column:
     pair = lambda a, b: F.struct(a.alias("grade"), b.alias("day"))
     message = F.concat(F.lit("cannot align grade/date lists: "), grade, F.lit(" / "), date)
     return (
@@ -41,13 +44,26 @@ def grade_date_events(grade: Column, date: Column) -> Column:
     )
 
 
+def _tokenized(df: DataFrame, unit: str, pairs: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """Token arrays as columns of their own, so each cell is scanned once."""
+    cells = sorted({c for pair in pairs.values() for c in pair})
+    return df.select(
+        unit, *cells,
+        *[numeric_tokens(F.col(g)).alias(f"_g_{kind}") for kind, (g, _) in pairs.items()],
+        *[numeric_tokens(F.col(d), signed=True).alias(f"_d_{kind}") for kind, (_, d) in pairs.items()],
+    )
+
+
+def _events(kind: str, grade: str, date: str) -> Column:
+    return _align(F.col(f"_g_{kind}"), F.col(f"_d_{kind}"), F.col(grade), F.col(date))
+
+
 def event_rows(df: DataFrame, unit: str, pairs: Mapping[str, tuple[str, str]]) -> DataFrame:
     """(unit, kind, grade, day) for every grade/date column pair, positive grades only."""
     cells = F.array(*[
-        F.struct(F.lit(kind).alias("kind"), grade_date_events(F.col(g), F.col(d)).alias("events"))
-        for kind, (g, d) in pairs.items()
+        F.struct(F.lit(kind).alias("kind"), _events(kind, g, d).alias("events")) for kind, (g, d) in pairs.items()
     ])
-    long = df.select(unit, F.explode(cells).alias("_c")).select(
+    long = _tokenized(df, unit, pairs).select(unit, F.explode(cells).alias("_c")).select(
         unit, "_c.kind", F.explode("_c.events").alias("_e")
     )
     return long.select(unit, "kind", "_e.grade", "_e.day").where("grade > 0")
@@ -58,25 +74,23 @@ def label_audit(df: DataFrame, unit: str, pairs: Mapping[str, tuple[str, str]])
 
     Everything is an expression over the unit's own row, so nothing is shuffled.
     """
-    grades = [F.col(g) for g, _ in pairs.values()]
-    all_values = F.flatten(F.array(*[numeric_tokens(g) for g in grades]))
+    all_values = F.flatten(F.array(*[F.col(f"_g_{kind}") for kind in pairs]))
     whole_cell = F.array(*[F.coalesce(F.expr(f"try_cast(`{g}` as double)"), F.lit(0.0)) for g, _ in pairs.values()])
 
     def named(kind: str):
         return lambda e: F.struct(F.lit(kind).alias("kind"), e["grade"].alias("grade"), e["day"].alias("day"))
 
     events = F.flatten(F.array(*[
-        F.transform(grade_date_events(F.col(g), F.col(d)), named(kind)) for kind, (g, d) in pairs.items()
+        F.transform(_events(kind, g, d), named(kind)) for kind, (g, d) in pairs.items()
     ]))
-    positive = F.filter(events, lambda e: e["grade"] > 0)
-    days = F.transform(positive, lambda e: e["day"])
-    post = F.filter(days, lambda x: x > 0)
-    staged = df.select(
+    staged = _tokenized(df, unit, pairs).select(
         unit,
         F.coalesce(F.array_max(all_values), F.lit(0.0)).alias("max_grade"),
         F.array_max(whole_cell).alias("_legacy"),
-        positive.alias("_events"), days.alias("_days"), post.alias("_post"),
+        F.filter(events, lambda e: e["grade"] > 0).alias("_events"),
     )
+    staged = staged.withColumn("_days", F.transform("_events", lambda e: e["day"]))
+    staged = staged.withColumn("_post", F.filter("_days", lambda x: x > 0))
     return staged.select(
         unit,
         (F.col("_legacy") > 0).cast("int").alias("legacy_label"),
@@ -141,12 +155,11 @@ def parse_response(df: DataFrame, text: str, out: str = "parsed") -> DataFrame:
     through the small scanner for an embedded object.
     """
     cleaned = df.withColumn("_clean", strip_fences(F.col(text)))
-    parsed = F.try_parse_json("_clean")
-    plain = cleaned.where(parsed.isNotNull())
-    is_object = F.schema_of_variant(F.try_parse_json("_clean")).startswith("OBJECT")
-    direct = plain.withColumn(out, F.when(is_object, F.col("_clean")))
-    embedded = cleaned.where(parsed.isNull()).withColumn(out, _first_object("_clean"))
-    return direct.unionByName(embedded).drop("_clean")
+    cleaned = cleaned.withColumn("_kind", F.schema_of_variant(F.try_parse_json("_clean")))
+    plain = F.col("_kind").isNotNull()
+    direct = cleaned.where(plain).withColumn(out, F.when(F.col("_kind").startswith("OBJECT"), F.col("_clean")))
+    embedded = cleaned.where(~plain).withColumn(out, _first_object("_clean"))
+    return direct.unionByName(embedded).drop("_clean", "_kind")
 
 
 TEXT_KEYS = ["program", "activity_level", "representative_genes"]
