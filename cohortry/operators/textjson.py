@@ -178,30 +178,33 @@ def flatten_numeric(df: DataFrame, unit: str, payload: str, depth: int = 4) -> D
         F.struct(F.lit(b).alias("path"), F.try_variant_get("_p", f"$.{b}", "variant").alias("v")) for b in BLOCKS
     ])
     nodes = parsed.select(unit, F.explode(blocks).alias("_b")).select(unit, "_b.path", "_b.v").where("v IS NOT NULL")
-    leaves = None
+    # One linear chain: containers are replaced by their entries, leaves are carried along.
     for _ in range(depth):
-        kind = F.schema_of_variant("v")
-        numeric = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
-        value = F.when(numeric, F.try_variant_get("v", "$", "double")).when(
-            kind == "BOOLEAN", F.try_variant_get("v", "$", "boolean").cast("int").cast("double")
-        )
-        found = nodes.select(unit, "path", value.alias("value")).where("value IS NOT NULL")
-        leaves = found if leaves is None else leaves.unionByName(found)
-        inner = nodes.where(kind.rlike("^(OBJECT|ARRAY)"))
-        entries = inner.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
-        entries = entries.select(unit, "path", F.col("key"), F.col("value").alias("child"))
-        program = F.try_variant_get("child", "$.program", "string")
-        forbidden = F.col("key").isin(FORBIDDEN_FIELDS)
+        entries = nodes.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()))
+        leaf, in_object = F.col("value").isNull(), F.col("key").isNotNull()
+        program = F.try_variant_get("value", "$.program", "string")
         checked = F.when(
-            forbidden, F.raise_error(F.concat(F.lit("forbidden field in feature block: "), F.col("key")))
+            F.col("key").isin(FORBIDDEN_FIELDS),
+            F.raise_error(F.concat(F.lit("forbidden field in feature block: "), F.col("key"))),
         ).otherwise(F.concat("path", F.lit("."), F.col("key")))
-        path = F.when(F.col("key").isNull(), F.concat("path", F.lit("["), program, F.lit("]"))).otherwise(checked)
-        keep = (F.col("key").isNull() & program.isNotNull()) | (
-            F.col("key").isNotNull() & ~F.coalesce(F.col("key").isin(TEXT_KEYS), F.lit(False))
+        path = (
+            F.when(leaf, F.col("path")).when(in_object, checked)
+            .otherwise(F.concat("path", F.lit("["), program, F.lit("]")))
+        )
+        keep = leaf | F.when(in_object, ~F.col("key").isin(TEXT_KEYS)).otherwise(program.isNotNull())
+        nodes = entries.where(keep).select(
+            unit, path.alias("path"), F.when(leaf, F.col("v")).otherwise(F.col("value")).alias("v")
         )
-        nodes = entries.where(keep).select(unit, path.alias("path"), F.col("child").alias("v"))
-    present = leaves.select(unit, F.concat("path", F.lit(".__present")).alias("feature"), F.lit(1.0).alias("value"))
-    return leaves.select(unit, F.col("path").alias("feature"), "value").unionByName(present)
+    kind = F.schema_of_variant("v")
+    value = F.when(
+        kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get("v", "$", "double")
+    ).when(kind == "BOOLEAN", F.try_variant_get("v", "$", "boolean").cast("int").cast("double"))
+    found = nodes.select(unit, "path", value.alias("value")).where("value IS NOT NULL")
+    both = F.array(
+        F.struct(F.col("path").alias("feature"), F.col("value").alias("value")),
+        F.struct(F.concat("path", F.lit(".__present")).alias("feature"), F.lit(1.0).alias("value")),
+    )
+    return found.select(unit, F.explode(both).alias("_f")).select(unit, "_f.feature", "_f.value")
 
 
 def request_audit(df: DataFrame, unit: str, payload: str) -> DataFrame:
