@@ -17,15 +17,16 @@ from pyspark.sql import functions as F
 from cohortry.llm.common import id_remainder
 
 #: The bounded sample: so many distinct texts a language, so many characters of each.
-SAMPLE_TEXTS = 64
+SAMPLE_TEXTS = 96
 SAMPLE_CHARS = 1500
 LEVEL = 3
 #: Texts are compressed in pieces, so that a long text leans on the dictionary and not on itself.
 PIECE = 4096
 #: Least lead of the best language over the second, in compressed bytes per 100 bytes of text.
-MIN_MARGIN = 0.5
+MIN_MARGIN = 0.1
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
+_OTHER = re.compile(r"[\W\d_]+")
 
 
 def dictionaries(docs: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
@@ -44,8 +45,27 @@ def dictionaries(docs: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE
               .agg(F.min(F.substring("text", 1, chars)).alias("text")).collect())
     content: dict[str, list[str]] = {}
     for row in sorted(sample, key=lambda r: (r.lang, r.h)):
-        content.setdefault(row.lang, []).append(row.text)
-    return {lang: "\n".join(parts[:texts]).encode() for lang, parts in content.items()}
+        content.setdefault(row.lang, []).append(letters(row.text))
+    return {lang: " ".join(parts).encode() for lang, parts in _agreeing(content).items()}
+
+
+def letters(text: str) -> str:
+    """Lower-case letters, everything else as single spaces: shouting, symbols and layout say nothing of the language."""
+    return _OTHER.sub(" ", text.lower())
+
+
+def _agreeing(content: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Leave out mislabelled texts: each half of the sample is predicted from the other half and must agree.
+
+    A language that would lose more than half of its texts keeps them all.
+    """
+    halves = [{lang: " ".join(t[k::2]).encode() for lang, t in content.items() if t[k::2]} for k in (0, 1)]
+    models = [Identifier(h) for h in halves]
+    out = {}
+    for lang, texts in content.items():
+        good = [t for i, t in enumerate(texts) if models[1 - i % 2].predict(t)[0] == lang]
+        out[lang] = good if 2 * len(good) >= len(texts) else texts
+    return out
 
 
 class Identifier:
@@ -60,7 +80,7 @@ class Identifier:
         """Language, score and margin (per 100 bytes). No letters or no learned language: ``und``, 0, 0."""
         if not text or not self.langs or not _LETTER.search(text):
             return UNKNOWN, 0.0, 0.0
-        sizes, total = np.zeros(len(self.langs)), 0
+        sizes, total, text = np.zeros(len(self.langs)), 0, letters(text)
         for lo in range(0, len(text), PIECE):
             piece = text[lo: lo + PIECE].encode("utf-8", "replace")
             total += len(piece)

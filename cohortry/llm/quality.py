@@ -16,7 +16,7 @@ BUCKETS = 1 << 16
 #: Pseudo-count of each bucket of the trusted multinomial; the raw one gets it in proportion to its size.
 PRIOR = 20.0
 #: Documents whose mean ratio per n-gram is below this are dropped.
-THRESHOLD = -0.5
+THRESHOLD = -0.2
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 #: Most words, in percent, that may stand in repeated 3-word windows.
