@@ -263,7 +263,17 @@ def _dressed(page: str, other: str, rng: np.random.Generator) -> str:
     def text() -> str:
         return entities.escape(said[int(rng.integers(len(said)))])
 
-    body = "".join(f"<p>{entities.escape(b.text)}</p>" for b in blocks_of(page) if weak_label(b)) or f"<p>{text()}</p>"
+    def short() -> str:
+        return " ".join(text().split()[: int(rng.integers(1, 5))])
+
+    extras = [f"<ul><li>{short()}</li><li>{short()}</li></ul>", f"<table><tr><td>{short()}</td><td>{short()}</td></tr></table>",
+              f"<h2>{short()}</h2>", f"<blockquote>{text()}</blockquote>", f"<p>{short()}</p>", f"<ol><li><p>{short()}</p></li></ol>",
+              f"<dl><dt>{short()}</dt><dd>{short()}</dd></dl>", f"<pre>{short()}</pre>"]
+    parts = [f"<p>{entities.escape(b.text)}</p>" for b in blocks_of(page) if weak_label(b)] or [f"<p>{text()}</p>"]
+    for extra in extras:
+        if rng.random() < 0.4:
+            parts.insert(int(rng.integers(len(parts) + 1)), extra)
+    body = "".join(parts)
     word = str(rng.choice(sorted(FURNITURE_WORDS)))
     box = str(rng.choice(["article", "main", 'div class="content"', 'div class="post-body"', 'div id="main"', "section"]))
     before = [f"<header><h2>{text()}</h2></header>", f'<div class="{word}"><p>{text()}</p></div>',
