@@ -114,25 +114,58 @@ def unpack(payload: bytes) -> tuple[list[int | None], EliasFano, memoryview]:
     return [None if m else d for d, m in zip(doc_ids, missing)], ef, take(4 * tokens)
 
 
+#: Chunks whose pre-tokens are plain: a new line, a word of Latin letters, a run of marks. Any part may be missing.
+_PLAIN = re.compile("(\n?)( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([.,;:!?|$%&#*]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-in of each byte in a byte-level vocabulary: visible bytes stand for themselves, the others
+    for the characters from U+0100 on, in order."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = sorted(set(range(256)).difference(visible))
+    return {b: chr(0x100 + k) for k, b in enumerate(hidden)}
+
+
 class Encoder:
     """The tokenizer behind a cache of chunks, each some white space and the run after it.
 
-    A pre-token never reaches from another character into white space, so the chunks' ids make up the text's ids.
+    A pre-token never reaches from another character into white space, so the chunks' ids make up the text's ids. Plain
+    chunks are cut into pre-tokens here and go to the tokenizer's model alone, all others through the whole tokenizer.
     """
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(tokenizer_path), {}
+        self.tokenizer, self.known, self.parts = Tokenizer.from_file(tokenizer_path), {}, {"": b""}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+
+    def _part(self, text: str) -> bytes:
+        """Ids of one pre-token."""
+        got = self.parts.get(text)
+        if got is None:
+            shown = text.encode().decode("latin-1").translate(self.letters)
+            got = self.parts[text] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        return got
+
+    def _learn(self, new: set[str]) -> None:
+        rest = []
+        for chunk in new:
+            m = _PLAIN.fullmatch(chunk)
+            if m:
+                line, word, marks = m.groups()
+                self.known[chunk] = self._part(line) + self._part(word) + self._part(marks)
+            else:
+                rest.append(chunk)
+        if rest:
+            for chunk, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+                self.known[chunk] = np.array(got.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, the end id appended."""
         split = [_CHUNK.findall(x) for x in texts]
-        if len(self.known) > _CACHE:
-            self.known = {}
-        new = list({c for chunks in split for c in chunks}.difference(self.known))
-        for chunk, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False) if new else []):
-            self.known[chunk] = np.array(got.ids, "<u4").tobytes()
+        if len(self.known) + len(self.parts) > _CACHE:
+            self.known, self.parts = {}, {"": b""}
+        self._learn(set().union(*split).difference(self.known))
         end, get = np.array([END_ID], "<u4").tobytes(), self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, chunks)) + end, "<u4") for chunks in split]
 
