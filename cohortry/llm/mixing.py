@@ -134,7 +134,7 @@ def mix(rows: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS, most: float =
     sources = sources.withColumn("block", F.greatest(F.lit(1), length)).withColumn(
         "words", F.round("target").cast("bigint")
     )
-    blocks = F.ceil(F.col("source_size") / F.col("block"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.col("block")))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0)
     sources = written(sources.withColumn("blocks", blocks).withColumn(
         "slots", passes * blocks + F.ceil((F.col("words") - passes * F.col("source_size")) / F.col("block"))
