@@ -147,7 +147,7 @@ def _brute(rows):
     return {d: find(d) for d in keys}
 
 
-@pytest.mark.parametrize("refine_rows, block", [(128, 1 << 21), (2, 60)])
+@pytest.mark.parametrize("refine_rows, block", [(2048, 1 << 20), (2, 60)])
 def test_jaccard_components_against_brute_force(spark, docs, nothing, monkeypatch, refine_rows, block):
     monkeypatch.setattr(jaccard_join, "REFINE_ROWS", refine_rows)
     monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", block)
