@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.lineage import settle
 
 TASK_ROWS = 2_000_000
-MAX_CHUNKS = 1024
+MAX_CHUNKS = 16_384
 
 
 def chunk_count(rows: int) -> int:
@@ -45,11 +46,25 @@ def add_chunk(df: DataFrame, value: str, cuts: list[float], out: str) -> DataFra
     single value, so a value repeated very often gets a chunk of its own.
     """
     splits = [-math.inf, *cuts, math.inf]
-    cast = df.withColumn("_value", F.col(value).cast("double"))
+    number = F.col(value).cast("double")
+    # NULL sorts first and NaN last, as in a window; each has a chunk of its own
+    defined = F.when(number.isNull() | F.isnan(number), 0.0).otherwise(number)
+    cast = df.withColumn("_number", number).withColumn("_value", defined)
     placed = Bucketizer(splits=splits, inputCol="_value", outputCol="_place").transform(cast)
     place = F.col("_place").cast("int")
     at_cut = F.element_at(F.lit(splits), place + 1) == F.col("_value")
-    return placed.withColumn(out, 2 * place - at_cut.cast("int")).drop("_value", "_place")
+    chunk = (
+        F.when(F.col("_number").isNull(), -2).when(F.isnan("_number"), 2 * len(splits))
+        .otherwise(2 * place - at_cut.cast("int"))
+    )
+    return placed.withColumn(out, chunk).drop("_number", "_value", "_place")
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which NULL matches NULL; the keys of ``left`` stay."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    match = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys])
+    return left.join(renamed, match, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def _chunked(df: DataFrame, order: str) -> DataFrame | None:
@@ -115,7 +130,7 @@ def running_totals(
     local = cut.select(
         "*", *[fold(src).over(inside).alias(f"_l_{out}") for out, src in sums.items()]
     )
-    return local.join(offsets, [*keys, "_chunk"]).select(
+    return join_null_safe(local, offsets, [*keys, "_chunk"]).select(
         *[F.col(c) for c in df.columns],
         *[combine(F.col(f"_l_{out}"), F.col(f"_o_{out}")).alias(out) for out in sums],
     )
@@ -160,7 +175,7 @@ def value_ranks(
     counts = settle(df.groupBy(*keys, value).agg(w.alias("_ties")))
     ranked = running_totals(counts, keys, value, {"_upto": "_ties"})
     totals = counts.groupBy(*keys).agg(F.sum("_ties").alias("_total"))
-    ranked = ranked.join(totals, keys) if keys else ranked.withColumn("_total", totals.scalar())
+    ranked = join_null_safe(ranked, totals, keys) if keys else ranked.withColumn("_total", totals.scalar())
     return ranked.withColumn("_below", F.col("_upto") - F.col("_ties"))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.lineage import settle
 from . import ordered
-from .ordered import add_chunk, chunk_count, cut_points, ordered_pair_sum
+from .ordered import add_chunk, chunk_count, cut_points, join_null_safe, ordered_pair_sum
 
 
 def later_and_lower(group: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -131,6 +131,7 @@ def concordance(
 
     ``tied_censoring=False``: only t_i < t_j with event_i counts (strict rule).
     ``tied_censoring=True``: an event also precedes a censoring at the same time.
+    Rows without a defined duration, event or risk (NULL, NaN) take no part, at any size; NULL keys are a group.
     Returns keys, pairs, concordant, tied (double) and c_index (NULL without pairs).
     """
     keys = list(keys)
@@ -145,6 +146,7 @@ def concordance(
             F.col(risk).cast("double").alias("_r"),
             *([F.col(weight)] if weight else []),
         )
+        .where(F.col("_ev").isNotNull() & _defined("_t") & _defined("_r"))
         .groupBy(*slot, "_t", "_ev", "_r")
         .agg(w.cast("double").alias("_w"))
     )
@@ -163,6 +165,10 @@ def concordance(
     )
 
 
+def _defined(name: str):
+    return F.col(name).isNotNull() & ~F.isnan(name)
+
+
 def _buckets(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -187,7 +193,7 @@ def _chunked_groups(points: DataFrame, keys: list[str], tied_censoring: bool, ch
     tied = _pairs_in_time(points, [*keys, "_r"], tied_censoring, "tied")
     tied = tied.groupBy(*keys).agg(F.sum("tied").alias("tied"))
     concordant = _inversions(points, keys, tied_censoring, chunks)
-    return pairs.join(tied, keys, "left").join(concordant, keys, "left")
+    return join_null_safe(join_null_safe(pairs, tied, keys, "left"), concordant, keys, "left")
 
 
 def _pairs_in_time(points: DataFrame, keys: list[str], tied_censoring: bool, out: str) -> DataFrame:

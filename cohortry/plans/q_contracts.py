@@ -32,10 +32,10 @@ def b03(spark, sf):
 
 
 @query("b04_row_order", """
-with n as (select doc_id, cast(floor(doc_id/2)*1 as bigint) declared, row_number() over (order by doc_id) rn from documents where lang='en')
+with n as (select doc_id, cast(floor(doc_id/2)*1 as bigint) declared, row_number() over (order by doc_id) rn from documents)
 select 'row_order' rule, cast(doc_id as varchar) key, 'declared='||declared||' canonical='||(rn-1) detail from n where declared<>rn-1""")
 def b04(spark, sf):
-    docs = views.table(spark, sf, "documents").where("lang = 'en'").select("doc_id")
+    docs = views.table(spark, sf, "documents").select("doc_id")
     numbered = fo.row_number(docs, [], "doc_id")
     declared = numbered.withColumn("declared", F.floor(F.col("doc_id") / 2))
     return ct.row_order(declared, "doc_id", "declared", "rn")
@@ -126,10 +126,10 @@ def b11(spark, sf):
 
 
 @query("b12_forbidden_fields", """
-select 'forbidden_fields' rule, cast(event_id as varchar) key, 'fold,outcome' detail from events where value>30 and event_type='error'
-union all select 'forbidden_fields', cast(event_id as varchar), 'label' from events where value>30 and event_type='view'""")
+select 'forbidden_fields' rule, cast(event_id as varchar) key, 'fold,outcome' detail from events where event_type='error'
+union all select 'forbidden_fields', cast(event_id as varchar), 'label' from events where event_type='view'""")
 def b12(spark, sf):
-    events = views.table(spark, sf, "events").where("value > 30")
+    events = views.table(spark, sf, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     payload = (
         F.when(F.col("event_type") == "error", F.to_json(F.struct(k.alias("outcome"), k.alias("fold"), k.alias("x"))))
@@ -444,8 +444,7 @@ def _numbered(spark, sf) -> DataFrame:
     return views.units(spark, sf).withColumn("pos", F.col("unit_id").cast("bigint"))
 
 
-_POS = "u as (select *, cast(unit_id as bigint) pos from units where stratum='BUILDING' or outcome=0)"
-_NEED = "stratum = 'BUILDING' OR outcome = 0"
+_POS = "u as (select *, cast(unit_id as bigint) pos from units)"
 
 
 @query("d12_balanced_limit", f"""
@@ -454,7 +453,7 @@ p as (select *, outcome pr from a where (outcome=0 and r<=2000) or (outcome=1 an
 s as (select unit_id, pr, pos from p union all select unit_id, 9, pos from u where unit_id not in (select unit_id from p))
 select unit_id from s order by pr, pos limit 4000""", ("units",))
 def d12(spark, sf):
-    units = _numbered(spark, sf).where(_NEED).select("unit_id", "outcome", "pos")
+    units = _numbered(spark, sf).select("unit_id", "outcome", "pos")
     return fo.balanced_limit(units, "unit_id", "pos", 4000).select("unit_id")
 
 
@@ -462,7 +461,7 @@ def d12(spark, sf):
 with {_POS}, a as (select *, row_number() over (partition by outcome order by pos) r from u)
 select unit_id, outcome from a order by r, outcome desc limit 3001""", ("units",))
 def d13(spark, sf):
-    units = _numbered(spark, sf).where(_NEED).select("unit_id", "outcome", "pos")
+    units = _numbered(spark, sf).select("unit_id", "outcome", "pos")
     return fo.interleave_limit(units, "pos", 3001).select("unit_id", "outcome")
 
 
@@ -474,7 +473,7 @@ p as (select * from a where (b<2 and r<=1000) or (b=2 and r<=1001)),
 s as (select unit_id, b pr, pos from p union all select unit_id, 9, pos from u where unit_id not in (select unit_id from p))
 select unit_id from s order by pr, pos limit 3001""", ("units",))
 def d14(spark, sf):
-    units = _numbered(spark, sf).where(_NEED).select("unit_id", "duration", "event", "pos")
+    units = _numbered(spark, sf).select("unit_id", "duration", "event", "pos")
     return fo.tertile_limit(units, "unit_id", "pos", 3001).select("unit_id")
 
 

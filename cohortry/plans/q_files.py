@@ -17,13 +17,13 @@ BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 
 @query("a01_wide_matrix", f"""
 with b as (select unnest([{','.join("'" + b + "'" for b in BRANDS)}]) feature), c as (select distinct unit_id from expr),
-y as (select group_id, min(outcome) outcome from units where fold<>5 group by 1)
+y as (select group_id, min(outcome) outcome from units group by 1)
 select c.unit_id, b.feature, coalesce(e.value,0.0) as value, outcome from c cross join b left join expr e on e.unit_id=c.unit_id and e.feature=b.feature join y on y.group_id=c.unit_id""",
        ("units", "expr"))
 def a01(spark, sf):
     path = work_path(spark, "matrix")
     views.expr(spark, sf).groupBy("unit_id").pivot("feature", BRANDS).agg(F.first("value")).write.csv(f"{path}/x", header=True)
-    y = views.units(spark, sf).where("fold <> 5").groupBy(F.col("group_id").alias("unit_id")).agg(F.min("outcome").alias("outcome"))
+    y = views.units(spark, sf).groupBy(F.col("group_id").alias("unit_id")).agg(F.min("outcome").alias("outcome"))
     y.write.csv(f"{path}/y", header=True)
     long = rd.wide_matrix(spark, f"{path}/x", "unit_id", BRANDS)
     return rd.aligned(long, rd.labels(spark, f"{path}/y", {"unit_id": "string", "outcome": "int"}), "unit_id")
@@ -156,13 +156,13 @@ def a10(spark, sf):
 
 @query("a11_feature_annotation", """
 with f as (select distinct case when l_partkey%2=0 then 'gene_'||(l_partkey%3000) else cast(l_partkey%3000 as varchar) end feature_id, l_partkey%3000 k from lineitem)
-select feature_id, p_name symbol, upper(trim(p_name)) normalized_symbol from f left join part on p_partkey=k and p_size<40""")
+select feature_id, p_name symbol, upper(trim(p_name)) normalized_symbol from f left join part on p_partkey=k""")
 def a11(spark, sf):
     key = (F.col("l_partkey") % 3000).cast("string")
     features = views.table(spark, sf, "lineitem").select(
         F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("gene_"), key)).otherwise(key).alias("feature_id")
     ).distinct()
-    dim = views.table(spark, sf, "part").where("p_size < 40").select(F.col("p_partkey").alias("position"), F.col("p_name").alias("symbol"))
+    dim = views.table(spark, sf, "part").select(F.col("p_partkey").alias("position"), F.col("p_name").alias("symbol"))
     return rd.annotate_features(features, dim)
 
 

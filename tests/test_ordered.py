@@ -124,3 +124,30 @@ def test_km_curve(spark, path):
     assert out.survival.tolist() == pytest.approx([5 / 6, 5 / 6 * 4 / 5, 5 / 6 * 4 / 5, 1 / 3, 0.0])
     assert out.before.tolist() == pytest.approx([1.0, *out.survival.tolist()[:-1]])
     assert curve_median(km_curve(spark.createDataFrame(pdf), ["g"]), ["g"], "m").first()["m"] == 4.0
+
+
+@pytest.mark.parametrize("rows", [2_000_000, 40, 5])
+def test_null_keys_and_undefined_values_at_any_size(spark, monkeypatch, rows):
+    """The chunked paths give what the plain ones give: NULL and NaN included, a hot value besides."""
+    from cohortry.operators import pairs
+
+    data = [(k, float(i % 7), int(i % 3 > 0), s) for i in range(30) for k in ("a", None)
+            for s in [None if i == 3 else float("nan") if i == 4 else 1.0 if i % 2 else float(i)]]
+    df = spark.createDataFrame(data, "k string, t double, e int, s double")
+    monkeypatch.setattr(ordered, "TASK_ROWS", rows)
+    ranks = ordered.value_ranks(df, ["k"], "s").collect()
+    for key in ("a", None):
+        upto = {str(r.s): (r._upto, r._total) for r in ranks if r.k == key}
+        assert upto["None"] == (1, 30) and upto["nan"] == (30, 30) and upto["1.0"] == (16, 30)
+    median = {r.k: r.q for r in ordered.exact_quantiles(df.where("not isnan(s)"), ["k"], "s", {"q": 0.5}).collect()}
+    assert median == {"a": 1.0, None: 1.0}
+    got = {r.k: (r.pairs, r.concordant, r.tied) for r in pairs.concordance(df, ["k"], duration="t", event="e", risk="s").collect()}
+    use = [(t, e, s) for k, t, e, s in data if k == "a" and s is not None and s == s]
+    want = [0.0, 0.0, 0.0]
+    for t, e, s in use:
+        for t2, _, s2 in use:
+            if e and t < t2:
+                want[0] += 1
+                want[1] += s > s2
+                want[2] += s == s2
+    assert got == {"a": tuple(want), None: tuple(want)}
