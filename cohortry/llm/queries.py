@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import decontaminate, html_extract, jaccard_join, language_id, lm, mixing, quality, token_files, toxicity
+from cohortry.llm import decontaminate, html_extract, jaccard_join, language_id, lm, mixing, quality, quality_model, token_files, toxicity
 from cohortry.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,6 +130,13 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id
 """
 
 
+@query
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fitted = quality_model.estimate(quality_model.pattern_counts(docs))
+    return quality_model.classify(docs, *fitted, quality_model.train(docs, *fitted))
+
+
 @query
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")

@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from cohortry.llm import (common, decontaminate, html_extract, jaccard_join, language_id, lm, mixing, quality, queries,
+from cohortry.llm import (common, decontaminate, html_extract, jaccard_join, language_id, lm, mixing, quality, quality_model, queries,
                           token_files, toxicity)
 
 SF = "/root/testdata/sf0.001"
@@ -229,6 +229,30 @@ def test_base_rules_against_brute_force(spark, docs, nothing):
     assert not quality.log_ratios(np.zeros(4), np.ones(4)).any()
 
 
+# quality classifier
+
+def test_quality_classifier(spark, docs, nothing):
+    rows = common.table(spark, "/root/testdata/sf0.01", "documents")
+    got = queries.QUERIES["op5_quality_classifier"](spark, "/root/testdata/sf0.01").toPandas()
+    assert len(got) == rows.count()
+    marks = common.table(spark, "/root/testdata/sf0.01", "labels").toPandas().merge(got, on="doc_id")
+    assert marks[marks.quality == 1].kept.mean() > 0.95
+    assert marks[marks.quality == 1].score.mean() > marks[marks.quality == 0].score.mean() + 0.2
+    fitted = quality_model.estimate(quality_model.pattern_counts(nothing))
+    weights = quality_model.train(nothing, *fitted)
+    assert quality_model.classify(docs, *fitted, weights).count() == len(DOCS)
+    assert quality_model.classify(nothing, *fitted, weights).count() == 0
+
+
+def test_em_finds_the_good_labeller():
+    rng = np.random.default_rng(0)
+    truth = rng.random(4000) < 0.7
+    right = np.linspace(0.95, 0.6, len(quality_model.BOUNDS))
+    cast = np.where(rng.random((4000, len(right))) < right, truth[:, None], ~truth[:, None]).astype(int)
+    table, good = quality_model.estimate(Counter(quality_model.pattern_of(list(map(int, c))) for c in cast))
+    assert abs(good - 0.7) < 0.05 and np.all(np.abs(table[:, 1, 1] - right) < 0.06)
+
+
 # language
 
 def test_language_edges_and_accuracy(spark, docs, nothing):
