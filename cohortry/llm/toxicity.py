@@ -21,6 +21,8 @@ BROADCAST_IDS = 2_000_000
 MIN_DOCS, MIN_RATIO, MIN_G = 5, 5.0, 20.0
 PREFIXES = (4, 5, 6)
 NEAR = 6
+#: Facts of so many distinct words are kept in a task.
+WORDS_KEPT = 200_000
 INSULTS = frozenset(["idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown",
                      "dumb", "fool", "jerk", "ugly", "hate"])
 SECOND_PERSON = frozenset(["you", "your", "yours", "du", "dich", "dir", "dein", "tu", "te", "toi", "vous", "votre",
@@ -86,35 +88,64 @@ def learn_lexicon(sample: DataFrame, terms: int = LEXICON_TERMS) -> dict[str, fl
     return {r.term: r.w for r in found}
 
 
-def features_of(text: str | None, lexicon: dict[str, float]) -> list[float]:
-    """Dense features of one whole text; all 0 for NULL and empty texts."""
-    raw = words_of(text)
-    if not raw:
-        return [0.0] * len(FEATURES)
-    words, n = _plain(raw), len(raw)
-    weights = dict.fromkeys(set(words), 0.0)
-    for w in weights:
-        if w in INSULTS:
-            weights[w] = 1.0
-        best = max((lexicon.get(t, 0.0) for t in (w, *(f"{w[:k]}*" for k in PREFIXES if len(w) > k))), default=0.0)
-        weights[w] = max(weights[w], best)
-    hits = [i for i, w in enumerate(words) if weights[w]]
-    you = [i for i, w in enumerate(words) if w in SECOND_PERSON]
-    near = 0
-    if hits and you:
-        at = np.searchsorted(you, hits)
-        left = np.abs(np.array(you)[np.maximum(at - 1, 0)] - hits)
-        right = np.abs(np.array(you)[np.minimum(at, len(you) - 1)] - hits)
-        near = int((np.minimum(left, right) <= NEAR).sum())
-    mixed = [w for w in raw if not w.isalpha() and _MIXED.search(w)]
-    hidden = sum((x := _INNER.sub("", w.lower()).translate(_LEET).strip(_EDGE)) in INSULTS or x in lexicon for w in mixed)
-    letters, capitals = sum(map(str.isalpha, text)) or 1, sum(map(str.isupper, text))
-    found = {words[i] for i in hits}
-    return [float(min(n, 5000)), 1000.0 * sum(words[i] in INSULTS for i in hits) / n, 1000.0 * len(hits) / n,
-            float(len(found)), max((weights[w] for w in found), default=0.0), sum(weights[w] for w in found),
-            1000.0 * near / n, 1000.0 * len(you) / n, capitals / letters, sum(w.isupper() and len(w) > 1 for w in raw) / n,
-            1000.0 * text.count("!") / n, 1000.0 * text.count("?") / n,
-            1000.0 * sum(map(text.count, ".,;:")) / n, 1000.0 * len(mixed) / n, 1000.0 * hidden / n]
+class Featurizer:
+    """Dense features of whole texts. What depends on one word alone is worked out once and kept."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        self.lexicon, self.beginnings = lexicon, {t[:4] for t in lexicon}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.words: dict[str, int] = {}
+        self.plain: dict[str, int] = {}
+        self.table = np.zeros((1 << 12, 9))
+
+    def _facts(self, word: str) -> tuple:
+        """Plain form (-1: none), its weight, insult, second person, letters, capitals, shouted, mixed, hidden insult."""
+        plain, weight = word.strip(_EDGE).lower(), 0.0
+        if plain[:4] in self.beginnings:
+            weight = max(self.lexicon.get(t, 0.0) for t in (plain, *(f"{plain[:k]}*" for k in PREFIXES if len(plain) > k)))
+        insult, letters, mixed, hidden = plain in INSULTS, len(word), False, False
+        if not word.isalpha():
+            letters, mixed = sum(map(str.isalpha, word)), bool(_MIXED.search(word))
+        if mixed:
+            bare = _INNER.sub("", word.lower()).translate(_LEET).strip(_EDGE)
+            hidden = bare in INSULTS or bare in self.lexicon
+        return (self.plain.setdefault(plain, len(self.plain)) if plain else -1, max(weight, float(insult)), insult,
+                plain in SECOND_PERSON, letters, 0 if word.islower() else sum(map(str.isupper, word)),
+                word.isupper() and len(word) > 1, mixed, hidden)
+
+    def __call__(self, text: str | None) -> list[float]:
+        """All 0 for NULL and empty texts."""
+        raw = words_of(text)
+        if not raw:
+            return [0.0] * len(FEATURES)
+        if len(self.words) > WORDS_KEPT:
+            self._clear()
+        if new := list(set(raw).difference(self.words)):
+            lo, hi = len(self.words), len(self.words) + len(new)
+            while hi > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[lo:hi] = [self._facts(w) for w in new]
+            self.words.update(zip(new, range(lo, hi)))
+        facts = self.table[np.fromiter(map(self.words.__getitem__, raw), np.int64, len(raw))]
+        n = len(raw)
+        _, _, _, _, letters, capitals, shouted, mixed, hidden = facts.sum(axis=0)
+        facts = facts[facts[:, 0] >= 0]
+        hits, you = np.flatnonzero(facts[:, 1]), np.flatnonzero(facts[:, 3])
+        near = 0
+        if len(hits) and len(you):
+            at = np.searchsorted(you, hits)
+            left = np.abs(you[np.maximum(at - 1, 0)] - hits)
+            right = np.abs(you[np.minimum(at, len(you) - 1)] - hits)
+            near = int((np.minimum(left, right) <= NEAR).sum())
+        _, first = np.unique(facts[hits, 0], return_index=True)
+        found = facts[hits[first], 1]
+        insults = int(facts[:, 2].sum())
+        return [float(min(n, 5000)), 1000.0 * insults / n, 1000.0 * len(hits) / n, float(len(found)),
+                float(found.max(initial=0.0)), float(found.sum()), 1000.0 * near / n, 1000.0 * len(you) / n,
+                capitals / (letters or 1), shouted / n, 1000.0 * text.count("!") / n, 1000.0 * text.count("?") / n,
+                1000.0 * sum(map(text.count, ".,;:")) / n, 1000.0 * mixed / n, 1000.0 * hidden / n]
 
 
 class Boosted:
@@ -212,8 +243,9 @@ class Model:
 
 def feature_rows(rows: DataFrame, lexicon: dict[str, float], keep: str, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Featurizer(lexicon)
         for batch in batches:
-            got = [features_of(x, lexicon) for x in batch.column(1).to_pylist()]
+            got = [features(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.float64()))], names=[keep, "x"])
 
     return rows.select(keep, "text").mapInArrow(run, f"{keep} {kind}, x array<double>")
@@ -230,8 +262,9 @@ def fit(sample: DataFrame, terms: int = LEXICON_TERMS) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted for every row. NULL and empty texts are scored from all-zero features."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Featurizer(model.lexicon)
         for batch in batches:
-            x = np.array([features_of(t, model.lexicon) for t in batch.column(1).to_pylist()], float)
+            x = np.array([features(t) for t in batch.column(1).to_pylist()], float)
             got = np.clip(model.scores(x.reshape(-1, len(FEATURES))), 0.0, 1.0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(got), pa.array((got >= 0.5).astype(np.int32))],
