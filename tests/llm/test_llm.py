@@ -323,6 +323,18 @@ def test_lm_base_scores_against_brute_force(spark, docs, nothing, monkeypatch):
     assert lm.score(docs, *lm.fit(nothing, path, pattern)).count() == len(DOCS)
 
 
+def test_lm_score_is_the_same_however_many_words_travel_with_the_tasks(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm, "STEPS", 5)
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    found = []
+    for most in (3, 100_000):
+        monkeypatch.setattr(lm, "HEAD_WORDS", most)
+        rows = lm.score(docs, *lm.fit(lm.training(docs), path, pattern)).collect()
+        found.append(sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 4),
+                             round(r.score, 4)) for r in rows))
+    assert found[0] == found[1]
+
+
 def test_attention_is_causal_and_scores_each_position_once():
     net = lm.Attention(np.zeros(lm.CLASSES))
     rng = np.random.default_rng(0)
