@@ -15,6 +15,8 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain, compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,9 @@ _HEAD = "<4sIQBIII"
 #: White space to the tokenizer's pattern. No pre-token runs from another character into it.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-_CACHE = 400_000
+_CACHE = 600_000
+#: New plain chunks in one sequence of the model.
+_AT_ONCE = 64
 
 
 class EliasFano:
@@ -114,60 +118,117 @@ def unpack(payload: bytes) -> tuple[list[int | None], EliasFano, memoryview]:
     return [None if m else d for d, m in zip(doc_ids, missing)], ef, take(4 * tokens)
 
 
-#: Chunks whose pre-tokens are plain: a new line, a word of Latin letters, a run of marks. Any part may be missing.
-_PLAIN = re.compile("(\n?)( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([.,;:!?|$%&#*]*)")
+#: Chunks whose pre-tokens are plain: a new line, a word of Latin letters with or without its space, a run of marks.
+_PLAIN = re.compile("(?:\n?+ |\n)[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]++[.,;:!?|$%&#*]*+")
 
 
-def _byte_letters() -> dict[int, str]:
-    """The printable stand-in of each byte in a byte-level vocabulary: visible bytes stand for themselves, the others
-    for the characters from U+0100 on, in order."""
+def _byte_letters() -> np.ndarray:
+    """The code point that stands for each byte in a byte-level vocabulary: visible bytes stand for themselves, the
+    others for the characters from U+0100 on, in order."""
     visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = sorted(set(range(256)).difference(visible))
-    return {b: chr(0x100 + k) for k, b in enumerate(hidden)}
+    out = np.arange(256, dtype="<u4")
+    hidden = np.setdiff1d(out, visible)
+    out[hidden] = 0x100 + np.arange(len(hidden))
+    return out
+
+
+def _keeps_apart(vocabulary: Iterator[str], letters: np.ndarray) -> bool:
+    """Whether no token of a plain text's bytes reaches over the end of a pre-token: into a space or a new line from
+    before it, from a new line into a letter, from a letter into a mark. Then plain chunks may stand side by side."""
+    def group(*of: int) -> str:
+        return "[" + "".join(re.escape(chr(letters[b])) for b in of) + "]"
+
+    # the letters above are of one byte, or two that begin with 0xC3 to 0xC9
+    letter = group(*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xCA))
+    mark, space, line = group(*b".,;:!?|$%&#*"), group(*b" "), group(*b"\n")
+    plain = re.compile(f"(?:{letter}|{mark}|{space}|{line})+")
+    over = re.compile(f"(?:{letter}|{mark}){space}|(?:{letter}|{mark}){line}|{line}(?:{space}|{letter})|{letter}{mark}")
+    return not any(plain.fullmatch(t) and over.search(t) for t in vocabulary)
+
+
+class _Places(dict):
+    """The place of each key; a new one gets the next place."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = place = len(self)
+        return place
 
 
 class Encoder:
     """The tokenizer behind a cache of chunks, each some white space and the run after it.
 
-    A pre-token never reaches from another character into white space, so the chunks' ids make up the text's ids. Plain
-    chunks are cut into pre-tokens here and go to the tokenizer's model alone, all others through the whole tokenizer.
+    A pre-token never reaches from another character into white space, so the chunks' ids make up the text's ids. New
+    plain chunks go side by side to the tokenizer's model alone, where no token of the vocabulary reaches over their
+    pre-tokens' ends; all other chunks go through the whole tokenizer, each on its own.
     """
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.parts = Tokenizer.from_file(tokenizer_path), {}, {"": b""}
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
-
-    def _part(self, text: str) -> bytes:
-        """Ids of one pre-token."""
-        got = self.parts.get(text)
-        if got is None:
-            shown = text.encode().decode("latin-1").translate(self.letters)
-            got = self.parts[text] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-        return got
-
-    def _learn(self, new: set[str]) -> None:
-        rest = []
-        for chunk in new:
-            m = _PLAIN.fullmatch(chunk)
-            if m:
-                line, word, marks = m.groups()
-                self.known[chunk] = self._part(line) + self._part(word) + self._part(marks)
-            else:
-                rest.append(chunk)
-        if rest:
-            for chunk, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-                self.known[chunk] = np.array(got.ids, "<u4").tobytes()
+        self.tokenizer, self.letters = Tokenizer.from_file(tokenizer_path), _byte_letters()
+        self.model = Tokenizer(self.tokenizer.model)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.apart = _keeps_apart(iter(vocabulary), self.letters)
+        #: bytes of each id's token
+        self.width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, k in vocabulary.items():
+            self.width[k] = len(token)
+        self._clear()
+
+    def _clear(self) -> None:
+        #: place of each chunk; the ids of the chunk at place k are pool[start[k]: start[k + 1]]
+        self.known, self.start, self.pool = _Places(), np.zeros(1, np.int64), np.zeros(0, "<u4")
+
+    def _side_by_side(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain chunks and the number of each chunk's ids."""
+        sequences = ["".join(chunks[lo: lo + _AT_ONCE]).encode() for lo in range(0, len(chunks), _AT_ONCE)]
+        shown = [self.letters[np.frombuffer(x, np.uint8)].tobytes().decode("utf-32-le") for x in sequences]
+        got = self.model.encode_batch_fast(shown, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(x.ids for x in got), "<u4")
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, chunks)), np.int64, len(chunks)))
+        last = np.searchsorted(np.cumsum(self.width[ids]), ends)
+        return ids, np.diff(last + 1, prepend=0)
+
+    def _learn(self, new: list[str]) -> None:
+        """Append the ids of ``new`` chunks, which have the next places, to the pool."""
+        plain = np.fromiter(map(bool, map(_PLAIN.fullmatch, new)), bool, len(new)) & self.apart
+        odd = np.flatnonzero(~plain).tolist()
+        side, sizes = np.zeros(0, "<u4"), np.zeros(len(new), np.int64)
+        if plain.any():
+            side, sizes[plain] = self._side_by_side(list(compress(new, plain.tolist())))
+        if odd:
+            got = self.tokenizer.encode_batch_fast([new[k] for k in odd], add_special_tokens=False)
+            at, pieces, done = np.cumsum(sizes), [], 0
+            for k, x in zip(odd, got):
+                pieces += [side[done: at[k]], np.array(x.ids, "<u4")]
+                done = at[k]
+                sizes[k] = len(x.ids)
+            side = np.concatenate([*pieces, side[done:]])
+        self.pool = np.concatenate([self.pool, side])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, the end id appended."""
         split = [_CHUNK.findall(x) for x in texts]
-        if len(self.known) + len(self.parts) > _CACHE:
-            self.known, self.parts = {}, {"": b""}
-        self._learn(set().union(*split).difference(self.known))
-        end, get = np.array([END_ID], "<u4").tobytes(), self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, chunks)) + end, "<u4") for chunks in split]
+        if len(self.known) > _CACHE:
+            self._clear()
+        known, before = self.known, len(self.known)
+        n = np.array([len(x) for x in split], np.int64)
+        at = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
+        if len(known) > before:
+            self._learn(list(islice(known, before, None)))
+        sizes = self.start[at + 1] - self.start[at]
+        ends = np.cumsum(sizes)
+        ids = self.pool[np.arange(int(sizes.sum())) + np.repeat(self.start[at] - ends + sizes, sizes)]
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]
+        end = np.array([END_ID], "<u4")
+        return [np.concatenate([ids[a:b], end]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+
+@lru_cache(maxsize=1)
+def _encoder(tokenizer_path: str) -> Encoder:
+    """One encoder a Python worker, kept over its tasks."""
+    return Encoder(tokenizer_path)
 
 
 _BLOCK = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()),
@@ -175,7 +236,7 @@ _BLOCK = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("n_docs", pa.int
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], tokenizer_path: str, block_tokens: int) -> Iterator[pa.RecordBatch]:
-    encoder, part, seq = Encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+    encoder, part, seq = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0
     doc_ids: list[int | None] = []
     ids: list[np.ndarray] = []
     held = 0

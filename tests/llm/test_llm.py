@@ -202,6 +202,28 @@ def test_encoder_equals_tokenizer_on_odd_texts():
         assert got[:-1].tolist() == tokenizer.encode(x, add_special_tokens=False).ids
 
 
+def test_encoder_equals_tokenizer_on_real_texts_with_a_small_cache(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "_CACHE", 500)
+    tokenizer, encoder = Tokenizer.from_file(queries.tokenizer_path()), token_files.Encoder(queries.tokenizer_path())
+    assert encoder.apart
+    texts = [r.text or "" for r in common.table(spark, SF, "documents").select("text").collect()]
+    texts += ["Word", "foo Bar", "Baz.\nqux, and\n\nmore", "\nline", "x\n y", "a" * 3000 + " end", "\u0250\u01c2 \u0249!"]
+    for lo in range(0, len(texts), 16):
+        some = texts[lo: lo + 16]
+        want = [[*x.ids, 0] for x in tokenizer.encode_batch(some, add_special_tokens=False)]
+        assert [x.tolist() for x in encoder.encode(some)] == want
+
+
+def test_vocabulary_check_finds_tokens_over_an_end():
+    letters = token_files._byte_letters()
+    space, line = chr(letters[32]), chr(letters[10])
+    assert token_files._keeps_apart(iter([space + "word", "...", line * 2, "\xc2\xae,"]), letters)
+    for token in ("a" + space + "b", "." + space, "a" + line, line + "a", line + space, "a,"):
+        assert not token_files._keeps_apart(iter([token]), letters)
+
+
 @pytest.mark.parametrize("values", [[], [0], [5, 5, 5], [1, 2, 3, 1000, 70_000], list(range(0, 5000, 3))])
 def test_elias_fano(values):
     ef = token_files.EliasFano.build(np.array(values, np.int64))
