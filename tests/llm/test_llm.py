@@ -357,6 +357,15 @@ def test_lm_score_is_the_same_however_many_words_travel_with_the_tasks(spark, do
     assert found[0] == found[1]
 
 
+def test_words_encoded_together_equal_words_encoded_apart():
+    subwords = lm.Subwords(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    plain = ["plain", "don't", "'s", "a\ud800b", "5,000", "...", "日本", "x" * 500, "é"]
+    for words in ([], plain, plain + ["a\xa0", "\x85", "b\u2003c"]):
+        ids, size = subwords.many(words)
+        want = [subwords(w) for w in words]
+        assert ids.tolist() == [k for w in want for k in w] and size.tolist() == [len(w) for w in want]
+
+
 def test_attention_is_causal_and_scores_each_position_once():
     net = lm.Attention(np.zeros(lm.CLASSES))
     rng = np.random.default_rng(0)
