@@ -208,15 +208,21 @@ def m11(spark, sf):
 
 def _flat(spark, sf) -> DataFrame:
     """Nested answer documents flattened to prediction rows."""
+    return flat_answers(answers(spark, sf))
+
+
+def flat_answers(rows: DataFrame) -> DataFrame:
+    """One row for every answer, whatever its shape; without an object the decision is NULL and the usage is kept."""
     doc = F.from_json("raw", "usage struct<prompt_tokens:int,completion_tokens:int,total_tokens:int>, choices array<struct<message:struct<content:string>>>")
-    base = answers(spark, sf).where("sample_id % 4 = 0").withColumn("d", doc)
-    body = F.from_json(F.col("d.choices")[0]["message"]["content"], "response_support_score double, resistance_support_score double, dominant_side string, rationale array<string>")
-    flat = base.withColumn("b", body).select(
-        "sample_id", "event_type", "thr", F.col("b.response_support_score").alias("support"),
+    base = rows.withColumn("d", doc).withColumn("text", F.get("d.choices", F.lit(0))["message"]["content"])
+    body = F.from_json("parsed", "response_support_score double, resistance_support_score double, dominant_side string, rationale array<string>")
+    flat = tj.parse_response(base, "text").withColumn("b", body).select(
+        "sample_id", "event_type", "thr", F.col("parsed").isNotNull().alias("is_object"), F.col("b.response_support_score").alias("support"),
         F.col("b.resistance_support_score").alias("resist"), F.col("b.dominant_side").alias("dominant_side"),
         F.array_join("b.rationale", " | ").alias("rationale"), "d.usage.prompt_tokens", "d.usage.completion_tokens", "d.usage.total_tokens",
     )
     decided = fm.with_formulas(flat, fm.margin_decision("support", "resist", "thr"))
+    decided = decided.withColumns({c: F.when(F.col("is_object"), F.col(c)) for c in ("prediction", "confidence", "score_margin")})
     return decided.withColumns({
         "call": (F.col("prediction") == "positive").cast("int"),
         "true_label": (hash32(F.concat(F.lit("t:"), F.col("sample_id").cast("string"))) % 2).cast("int"),

@@ -260,3 +260,26 @@ def test_motif_tags(spark):
     df = spark.createDataFrame([("FFF",), ("A*D",), ("",)], "m string")
     got = values(df.select(ft.motif_tags(F.col("m")).alias("t")), "t")
     assert got == [["aromatic", "repeat"], ["boundary", "acidic", "hydrophobic"], ["neutral"]]
+
+
+def test_all_answer_shapes_are_flattened(spark):
+    import json
+
+    from cohortry.operators import decisions as dc
+    from cohortry.plans.q_decisions import flat_answers
+
+    body = json.dumps({"response_support_score": 0.9, "resistance_support_score": 0.1, "dominant_side": "response", "rationale": ["a", "b"]})
+    contents = [body, f"```json\n{body}\n```", f"Note {{draft}}: {body} and {{\"x\": 1}}.", "no object here", None]
+    usage = [{"prompt_tokens": k, "completion_tokens": 2, "total_tokens": None if k == 1 else k + 2} for k in range(5)]
+    rows = [(k, "e", 0.0, json.dumps({"usage": usage[k], "choices": [{"message": {"content": c}}]})) for k, c in enumerate(contents)]
+    flat = flat_answers(spark.createDataFrame(rows, "sample_id long, event_type string, thr double, raw string"))
+    got = {r.sample_id: r for r in flat.collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4]
+    for k in range(5):
+        want = ("positive", 0.95, 0.8, "response", "a | b", 1) if k < 3 else (None,) * 6
+        r = got[k]
+        assert (r.prediction, r.confidence, r.score_margin, r.dominant_side, r.rationale, r.call) == want
+        assert (r.prompt_tokens, r.completion_tokens, r.total_tokens) == (k, 2, None if k == 1 else k + 2)
+    s = dc.dataset_summary(flat, ["event_type"]).first()
+    assert (s.sample_count, s.positive_predictions, s.negative_predictions, s.mean_total_tokens) == (5, 3, 0, 4.25)
+    assert s.mean_confidence == pytest.approx(0.95) and s.accuracy == pytest.approx(sum(got[k].true_label for k in range(3)) / 3)
