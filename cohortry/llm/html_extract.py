@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: The bounded training sample of pages, and the most blocks of a page that is trained on.
 SAMPLE_PAGES, SAMPLE_BLOCKS = 240, 120
-PATH_BINS, WORD_BINS, DENSE = 96, 32, 8
+PATH_BINS, WORD_BINS, DENSE = 96, 32, 9
 INPUTS, HIDDEN = PATH_BINS + WORD_BINS + DENSE, 16
 STEPS, BATCH, RATE = 160, 24, 0.02
 BLOCK_TAGS = frozenset(
@@ -32,7 +32,9 @@ RAW_TAGS = frozenset("script style noscript template textarea iframe svg object
 #: An open element of the first kind is closed by a start tag of the second.
 CLOSED_BY = {"p": BLOCK_TAGS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
              "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]),
-             "option": frozenset(["option", "optgroup"]), "head": frozenset(["body"])}
+             "option": frozenset(["option", "optgroup"])}
+#: All that can stand in a head; anything else closes it, as does text.
+HEAD_TAGS = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Elements, and words in class, id and role, that mark page furniture; and those that mark an article.
 FURNITURE_TAGS = frozenset(["nav", "footer", "aside", "form", "menu", "head", "dialog", "fieldset"])
 FURNITURE_WORDS = frozenset(
@@ -40,6 +42,10 @@ FURNITURE_WORDS = frozenset(
     "footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice pagination popup promo "
     "related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 ARTICLE_WORDS = frozenset("article content entry main post story text body".split())
+#: Before other words of a class, these say what the page has besides, as in "layout-with-sidebar".
+STATE_WORDS = frozenset("has have with without no hide hidden show".split())
+#: These never hold an article; html and body hold everything and say nothing.
+NEVER_HOLD, NEUTRAL = frozenset("nav footer aside menu head dialog".split()), frozenset(["html", "body"])
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|[^<]+|<", re.S)
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
@@ -47,25 +53,36 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 class Block:
-    __slots__ = ("path", "text", "linked")
+    """Text of a leaf; its path has (tag, words, number of the element); the last three are set from the whole page."""
+
+    __slots__ = ("path", "text", "linked", "near", "furniture", "inside")
 
     def __init__(self, path: tuple, text: str, linked: int):
         self.path, self.text, self.linked = path, text, linked
+        self.near, self.furniture, self.inside = path, False, False
 
 
 def _names(attributes: str) -> tuple[str, ...]:
     if "=" not in attributes:
         return ()
-    return tuple(w for m in _NAMED.finditer(attributes) for w in _WORDS.findall(m[1].lower()))
+    out: list[str] = []
+    for m in _NAMED.finditer(attributes):
+        for name in m[1].lower().split():
+            words = _WORDS.findall(name)
+            at = next((k for k, w in enumerate(words) if w in STATE_WORDS), len(words))
+            out += words[:at]
+            if at < len(words):
+                out.append("_".join(words[at:]))
+    return tuple(out)
 
 
 def blocks_of(page: str | None) -> list[Block]:
     """Text blocks in page order. Block elements end a block, inline ones and line breaks do not; character references are
     decoded, white space is collapsed, unclosed elements are closed as browsers do."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], int]] = []
     parts: list[str] = []
-    linked, skip_upto, page = 0, 0, page or ""
+    linked, skip_upto, opened, page = 0, 0, 0, page or ""
 
     def flush() -> None:
         nonlocal linked
@@ -84,20 +101,26 @@ def blocks_of(page: str | None) -> list[Block]:
             got = m[0]
             if got[0] != "<" or got == "<":
                 got = entities.unescape(got) if "&" in got else got
+                if stack and stack[-1][0] == "head" and got.strip():
+                    flush()
+                    del stack[-1]
                 parts.append(got)
-                if any(t == "a" for t, _ in stack):
+                if any(e[0] == "a" for e in stack):
                     linked += len(got)
             continue
         tag = tag.lower()
         if m[1]:
-            if tag in ("p", "br") and all(t != tag for t, _ in stack):
+            if tag in ("p", "br") and all(e[0] != tag for e in stack):
                 flush() if tag == "p" else parts.append(" ")
             at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if at is not None and (tag in BLOCK_TAGS or not any(t in BLOCK_TAGS for t, _ in stack[at:])):
+            if at is not None and (tag in BLOCK_TAGS or not any(e[0] in BLOCK_TAGS for e in stack[at:])):
                 if tag in BLOCK_TAGS:
                     flush()
                 del stack[at:]
             continue
+        if stack and stack[-1][0] == "head" and tag not in HEAD_TAGS:
+            flush()
+            del stack[-1]
         if tag in RAW_TAGS:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, m.end())
             skip_upto = close.end() if close else (len(page) if tag in ("script", "style") else m.end())
@@ -117,27 +140,84 @@ def blocks_of(page: str | None) -> list[Block]:
                     break
                 if stack[k][0] in BLOCK_TAGS and stack[k][0] != "p":
                     break
-        stack.append((tag, _names(m[3])))
+        opened += 1
+        stack.append((tag, _names(m[3]), opened))
     flush()
+    _place(out)
     return out
 
 
+def _marked(element: tuple) -> bool:
+    return element[0] in FURNITURE_TAGS or not FURNITURE_WORDS.isdisjoint(element[1])
+
+
+def _article_like(element: tuple) -> bool:
+    return element[0] in ("article", "main") or (element[0] not in NEUTRAL and not ARTICLE_WORDS.isdisjoint(element[1]))
+
+
+def _holders(blocks: list[Block]) -> tuple[set[int], set[int]]:
+    """Numbers of the elements that hold the article, and of those that are one.
+
+    Article-like elements without furniture words compete by their unlinked text; where there are none, an element with more
+    than half of it and a headline or two longer paragraphs holds the article.
+    """
+    mass: dict[int, int] = {}
+    rich: dict[int, int] = {}
+    above: dict[int, tuple] = {}
+    total = 0
+    for b in blocks:
+        n = max(0, len(b.text) - b.linked)
+        total += n
+        worth = 2 if b.path and b.path[-1][0] == "h1" else int(n >= 80)
+        for depth, e in enumerate(b.path):
+            mass[e[2]] = mass.get(e[2], 0) + n
+            rich[e[2]] = rich.get(e[2], 0) + worth
+            above.setdefault(e[2], b.path[: depth + 1])
+    like = [k for k, way in above.items() if mass[k] and _article_like(way[-1]) and not _marked(way[-1])]
+    if not like:
+        wide = {k for k, way in above.items() if 2 * mass[k] > total and rich[k] >= 2 and way[-1][0] not in NEVER_HOLD}
+        return wide, set()
+    most = max(mass[k] for k in like)
+    large = [k for k in like if 2 * mass[k] >= most]
+    chosen = {k for k in large if not any(_marked(e) for e in above[k] if e[0] not in NEUTRAL)} or {max(large, key=mass.get)}
+    chosen |= {k for k in like if any(e[2] in chosen and 2 * mass[k] >= mass[e[2]] for e in above[k])}
+    return {e[2] for k in chosen for e in above[k]}, chosen
+
+
+def _place(blocks: list[Block]) -> None:
+    """Which marks of its path speak about a block: those of elements that neither hold the article nor the whole page."""
+    holders, articles = _holders(blocks)
+    for b in blocks:
+        near, within = [], False
+        for e in b.path:
+            tag, names, number = e
+            if tag in NEUTRAL or (number in holders and number not in articles):
+                continue
+            if number in articles:
+                within = True
+                near.append((tag, tuple(n for n in names if n not in FURNITURE_WORDS), number))
+                continue
+            b.inside = b.inside or _article_like(e)
+            named = FURNITURE_WORDS.intersection(names)
+            if within or b.inside:
+                named -= {"header"}
+            if tag in FURNITURE_TAGS or named or (tag == "header" and not within and not b.inside):
+                b.furniture = True
+            # a header inside the article holds its title
+            near.append((tag, tuple(n for n in names if n not in FURNITURE_WORDS or n in named), number))
+        b.inside, b.near = b.inside or within, tuple(near)
+
+
 def is_furniture(block: Block) -> bool:
-    """Whether the path alone says that the block is no article text."""
-    for depth, (tag, names) in enumerate(block.path):
-        if tag in FURNITURE_TAGS or (names and not FURNITURE_WORDS.isdisjoint(names)):
-            return True
-        if tag == "header" and all(t not in ("article", "main") for t, _ in block.path[:depth]):
-            return True
-    return False
+    """Whether the path speaks against article text; a feature and a part of the training label, never the decision."""
+    return block.furniture
 
 
 def weak_label(block: Block) -> bool:
-    """Training label: inside an article and no furniture, or a longer unlinked paragraph outside of any."""
-    if is_furniture(block):
+    """Training label: inside an article and no furniture, or a headline or longer unlinked paragraph outside of any."""
+    if block.furniture:
         return False
-    inside = any(t in ("article", "main") or (n and not ARTICLE_WORDS.isdisjoint(n)) for t, n in block.path if t != "body")
-    return inside or (len(block.text) >= 80 and 2 * block.linked < len(block.text))
+    return block.inside or ((len(block.text) >= 80 or block.path[-1:] and block.path[-1][0] == "h1") and 2 * block.linked < len(block.text))
 
 
 def _bin(token: str, size: int, known: dict[str, int] = {}) -> int:
@@ -150,10 +230,10 @@ def _bin(token: str, size: int, known: dict[str, int] = {}) -> int:
 
 
 def vectors(blocks: list[Block]) -> np.ndarray:
-    """Features of each block: hashed tag path (elements and names), hashed words, a few dense ones."""
+    """Features of each block: hashed tag path (elements and names, without what holds the article), hashed words, a few dense ones."""
     x = np.zeros((len(blocks), INPUTS), np.float32)
     for row, b in enumerate(blocks):
-        for tag, names in b.path:
+        for tag, names, _ in b.near:
             x[row, _bin("<" + tag, PATH_BINS)] = 1
             for n in names:
                 x[row, _bin("." + n, PATH_BINS)] = 1
@@ -163,7 +243,7 @@ def vectors(blocks: list[Block]) -> np.ndarray:
         n = len(b.text)
         x[row, PATH_BINS + WORD_BINS:] = (
             np.log1p(n) / 8, np.log1p(len(words)) / 6, min(1.0, b.linked / n), (row + 1) / len(blocks),
-            sum(map(b.text.count, ".,;:!?")) / len(words), b.text[-1:] in ".!?\"'", float(is_furniture(b)), 1 / (row + 1))
+            sum(map(b.text.count, ".,;:!?")) / len(words), b.text[-1:] in ".!?\"'", float(is_furniture(b)), 1 / (row + 1), float(b.inside))
     return x
 
 
@@ -268,7 +348,8 @@ def _dressed(page: str, other: str, rng: np.random.Generator) -> str:
 
     extras = [f"<ul><li>{short()}</li><li>{short()}</li></ul>", f"<table><tr><td>{short()}</td><td>{short()}</td></tr></table>",
               f"<h2>{short()}</h2>", f"<blockquote>{text()}</blockquote>", f"<p>{short()}</p>", f"<ol><li><p>{short()}</p></li></ol>",
-              f"<dl><dt>{short()}</dt><dd>{short()}</dd></dl>", f"<pre>{short()}</pre>"]
+              f"<dl><dt>{short()}</dt><dd>{short()}</dd></dl>", f"<pre>{short()}</pre>",
+              *(f'<div class="{w}"><p>{t()}</p></div>' for w, t in zip(rng.choice(sorted(FURNITURE_WORDS), 2), (text, short)))]
     parts = [f"<p>{entities.escape(b.text)}</p>" for b in blocks_of(page) if weak_label(b)] or [f"<p>{text()}</p>"]
     for extra in extras:
         if rng.random() < 0.4:
@@ -280,8 +361,14 @@ def _dressed(page: str, other: str, rng: np.random.Generator) -> str:
               f"<nav><ul><li><a>{text()[:30]}</a></li><li><a>{text()[:30]}</a></li></ul></nav>"]
     after = [f'<section class="comments"><p>{text()}</p><p>{text()}</p></section>', f"<aside><p>{text()}</p></aside>",
              f"<form><p>{text()}</p></form>", f"<footer><p>{text()}</p></footer>", f'<div id="{word}">{text()}</div>']
-    keep = [x for x in before if rng.random() < 0.6], [x for x in after if rng.random() < 0.6]
-    return f"<body>{''.join(keep[0])}<{box}><h1>{text()[:60]}</h1>{body}</{box.split(' ')[0]}>{''.join(keep[1])}</body>"
+    often = float(rng.choice([0.0, 0.3, 0.6, 0.6]))
+    keep = [x for x in before if rng.random() < often], [x for x in after if rng.random() < often]
+    title = str(rng.choice(["{}", "{}", "<header>{}</header>", '<header class="entry-header">{}</header>', '<div class="post-header">{}</div>']))
+    around = str(rng.choice(["body", "body", "body", f'body class="has-{word}"', 'div class="layout-with-sidebar"', f'div id="{word}-and-content"', "form"]))
+    if rng.random() < 0.25:
+        return f"<{around}>{''.join(keep[0])}<h1>{text()[:60]}</h1>{body}{''.join(keep[1])}</{around.split(' ')[0]}>"
+    return (f"<{around}>{''.join(keep[0])}<{box}>{title.format(f'<h1>{text()[:60]}</h1>')}{body}</{box.split(' ')[0]}>"
+            f"{''.join(keep[1])}</{around.split(' ')[0]}>")
 
 
 def train(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Labeller:
@@ -298,7 +385,7 @@ def train(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Labeller:
 
 
 def main_texts(model: Labeller, pages: list[str | None]) -> list[str]:
-    """Main text of each page: blocks that the labeller takes, but never those whose path rules them out."""
+    """Main text of each page: the blocks that the labeller takes."""
     blocks = [blocks_of(p) for p in pages]
     out = [""] * len(pages)
     order = sorted((k for k in range(len(pages)) if blocks[k]), key=lambda k: len(blocks[k]))
@@ -306,7 +393,7 @@ def main_texts(model: Labeller, pages: list[str | None]) -> list[str]:
         some = order[lo: lo + 64]
         prob = model.forward(*padded([vectors(blocks[k]) for k in some]))[0]
         for row, k in enumerate(some):
-            out[k] = "\n".join(b.text for b, p in zip(blocks[k], prob[row]) if p >= 0.5 and not is_furniture(b))
+            out[k] = "\n".join(b.text for b, p in zip(blocks[k], prob[row]) if p >= 0.5)
     return out
 
 

@@ -327,6 +327,32 @@ def test_pages(spark):
     assert html_extract.extract(odd.limit(0), html_extract.train(odd.limit(0))).count() == 0
 
 
+def test_wrappers_and_open_heads_keep_the_article(spark):
+    model = html_extract.train(common.table(spark, "/root/testdata/sf0.01", "pages"))
+    first = "The council met on Monday evening and agreed on the plan for the new bridge over the river, after a long debate."
+    second = "Work begins in spring, said the mayor, and the old crossing stays open to people on foot until the end of the year."
+    paragraphs = f"<p>{first}</p><p>{second}</p>"
+    outside = ('<nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></nav>', '<footer><p>Imprint and privacy.</p></footer>')
+    article = f"{outside[0]}<article><h1>A new bridge</h1>{paragraphs}</article>{outside[1]}"
+    want = f"A new bridge\n{first}\n{second}"
+    pages = [
+        article, f'<body class="has-sidebar">{article}</body>', f'<html class="no-ads"><body class="sidebar">{article}</body></html>',
+        f'<body><div class="layout-with-sidebar">{article}</div></body>', f'<body><div class="sidebar layout">{article}</div></body>',
+        f'<body><div id="header-and-content">{article}</div></body>', f"<body><form action='/p'>{article}</form></body>",
+        f'<body>{outside[0]}<article><header class="entry-header"><h1>A new bridge</h1></header>{paragraphs}</article>{outside[1]}</body>',
+        f'<body><form><div class="content"><h1>A new bridge</h1>{paragraphs}</div></form></body>',
+        f'<html><head><title>T</title><meta charset="utf-8"><link rel="x" href="y">{article}</html>',
+        f"<head><title>T</title><div>{article}</div>",
+    ]
+    assert html_extract.main_texts(model, pages) == [want] * len(pages)
+    bare = f"<head><title>T</title><p>{first}<p>{second}"
+    assert html_extract.main_texts(model, [bare]) == [f"{first}\n{second}"]
+    comments = f'<section class="comments"><article><p>{second}</p></article></section>'
+    ad = '<div class="ad"><p>Buy this great thing today.</p></div>'
+    mixed = f'<body class="has-comments"><article><h1>A new bridge</h1><p>{first}</p>{ad}<p>{second}</p></article>{comments}</body>'
+    assert html_extract.main_texts(model, [mixed]) == [want]
+
+
 # language model
 
 def test_lm_base_scores_against_brute_force(spark, docs, nothing, monkeypatch):
