@@ -94,10 +94,11 @@ def posterior(cast: np.ndarray, table: np.ndarray, good: float) -> np.ndarray:
 
 
 def train(docs: DataFrame, table: np.ndarray, good: float, sample: int = SAMPLE_ROWS) -> np.ndarray:
-    """Weights of the hashed linear scorer (the last one is the bias), from about ``sample`` texts chosen by hash."""
-    n = docs.count()
+    """Weights of the hashed linear scorer (the last one is the bias), from about ``sample`` distinct texts chosen by hash."""
+    docs = docs.filter("text IS NOT NULL")
+    n = docs.select(F.approx_count_distinct(F.xxhash64("text"))).first()[0]
     share = int(1_000_003 * min(1.0, sample / max(n, 1)))
-    rows = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share).select("text")
+    rows = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share).select("text").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(BUCKETS)

@@ -266,6 +266,14 @@ def test_quality_classifier(spark, docs, nothing):
     assert quality_model.classify(nothing, *fitted, weights).count() == 0
 
 
+def test_quality_sample_has_each_text_once(spark):
+    docs = common.table(spark, SF, "documents").limit(60).select("text").distinct().localCheckpoint()
+    one = docs.filter("text IS NOT NULL").orderBy("text").limit(1)
+    copies = docs.unionAll(one.selectExpr("explode(array_repeat(text, 500)) text")).unionAll(spark.range(300).selectExpr("cast(null as string) text"))
+    fitted = quality_model.estimate(quality_model.pattern_counts(docs))
+    assert (quality_model.train(copies, *fitted) == quality_model.train(docs, *fitted)).all()
+
+
 def test_em_finds_the_good_labeller():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.7
