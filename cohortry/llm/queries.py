@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import decontaminate, html_extract, jaccard_join, language_id, lm, mixing, quality, quality_model, token_files, toxicity
+from cohortry.llm import (
+    align, archives, decontaminate, divergence, html_extract, jaccard_join, language_id, lm, mixing, quality, quality_model,
+    token_files, toxicity,
+)
 from cohortry.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +173,75 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(toxicity.labelled(docs, learnable))
     return toxicity.score(docs, model).select(
         "doc_id", (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op11_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.archived(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# base32 of the 160 digest bits: hexadecimal digits to bits, five bits a letter.
+SQL["op11_archives"] = r"""
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), b AS (
+  SELECT *, array_to_string(list_transform(range(1, 41), lambda i:
+         lpad(bin(('0x' || substr(hex, CAST(i AS INT), 1))::INT), 4, '0')), '') AS bits FROM p
+), d AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + list_sum(list_transform(range(1, 6), lambda k:
+         CASE WHEN substr(bits, CAST(5 * i + k AS INT), 1) = '1' THEN 1 << CAST(5 - k AS INT) ELSE 0 END)) AS INT), 1)), '') AS payload_digest
+  FROM b
+), m AS (
+  SELECT payload_digest, max(page_id) AS head FROM d GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, d.payload_digest, CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> head THEN head END AS refers_to
+FROM d JOIN m ON d.payload_digest = m.payload_digest
+"""
+
+
+@query
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), t AS (
+  SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL
+), k AS (
+  SELECT lang, term, CAST(sum(n) AS HUGEINT) AS lang_n FROM t GROUP BY lang, term HAVING count(*) >= 30
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT g.lang, g.source, k.term, k.lang_n, CAST(coalesce(s.n, 0) AS HUGEINT) AS n FROM g JOIN k ON k.lang = g.lang
+  LEFT JOIN (SELECT lang, source, term, sum(n) AS n FROM t GROUP BY ALL) s
+    ON s.lang = g.lang AND s.source = g.source AND s.term = k.term
+), p AS (
+  SELECT *, 1 + (1000000000 * (n + 5)) // (CAST(sum(n) OVER w AS HUGEINT) + 5 * count(*) OVER w) AS p,
+         1 + (1000000000 * (lang_n + 5)) // (CAST(sum(lang_n) OVER w AS HUGEINT) + 5 * count(*) OVER w) AS q
+  FROM c WINDOW w AS (PARTITION BY lang, source)
+), o AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source AS sa, b.source AS sb, sum(abs(a.p - b.p)) AS value FROM p a
+             JOIN p b ON a.lang = b.lang AND a.term = b.term GROUP BY ALL) x
+    ON x.lang = a.lang AND x.sa = a.source AND x.sb = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM o)
+WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
