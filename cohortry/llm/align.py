@@ -15,6 +15,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ _OTHER = _SPACE.replace(" ", "")
 #: From a blank that follows a word (or begins the text) to the next such blank.
 _SEGMENT = re.compile(f" [{_SPACE}]*[^{_SPACE}]*(?:[{_OTHER}][{_SPACE}]*[^{_SPACE}]*)*")
 _BLANK = "\u2581"
-#: Segments and tokens held by a worker before it starts anew.
-_CACHE, _CACHE_TOKENS = 400_000, 4_000_000
+#: Segments and links held by a worker before it starts anew.
+_CACHE, _CACHE_LINKS = 500_000, 6_000_000
 #: A link is ``a * B_IDS + b``; both vocabularies together stay below 63 bits.
 B_IDS = 1 << 24
 
@@ -111,60 +112,78 @@ class Aligner:
         self.a_bytes, self.b_bytes = byte_level_bytes(self.encoder.model), piece_bytes(self.pieces)
         if len(self.b_bytes) > B_IDS:
             raise ValueError("too many pieces for the code of a link")
+        self.a_size, self.b_size = (np.array([len(x) for x in of], np.int64) for of in (self.a_bytes, self.b_bytes))
         self.blank = self.pieces.piece_to_id(_BLANK)
         # a piece that goes on after a blank could reach over a segment's end
         self.splits = not any(re.search(f"[^{_BLANK}]{_BLANK}", self.pieces.id_to_piece(k)) for k in range(len(self.b_bytes)))
         self._clear()
 
     def _clear(self) -> None:
+        #: number of each segment; its shown groups, (tokens by either, groups, whether the bytes agree), place of its links
         self.known: dict[str, int] = {}
         self.shown: list[str] = []
-        self.sizes: list[tuple[int, int, int, bool]] = []
-        self.links: list[np.ndarray] = []
-        self.tokens = 0
+        self.sizes, self.start = np.zeros((0, 4), np.int64), np.zeros(1, np.int64)
+        self.links = np.zeros(0, np.int64)
 
-    def encode_pair(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    def encode_pair(self, segments: list[str]) -> tuple[list[np.ndarray], list[list[int]]]:
         """Ids of each segment, which begins with a blank, by both tokenizers."""
-        a = [x[:-1].tolist() for x in self.encoder.encode(segments)]
+        a = [x[:-1] for x in self.encoder.encode(segments)]
         b = self.pieces.encode([s[1:] for s in segments], num_threads=1)
         # the model adds no blank to an empty text
         return a, [ids or [self.blank] for ids in b]
 
     def _learn(self, segments: list[str]) -> None:
-        for segment, a, b in zip(segments, *self.encode_pair(segments)):
-            raw = segment.encode()
-            ta, tb = [self.a_bytes[x] for x in a], [self.b_bytes[x] for x in b]
-            same = b"".join(ta) == raw == b"".join(tb)
-            cut: list[tuple[range, range]] = []
-            if same:
-                ends = common_ends(np.cumsum([len(x) for x in ta]).tolist(), np.cumsum([len(x) for x in tb]).tolist())
-                cut = groups(ends)
-                self.links.append(np.array([a[x] * B_IDS + b[y] for x, y in ends], np.int64))
-            else:
-                self.links.append(np.zeros(0, np.int64))
+        """Align new segments, all in one pass: a segment's end is common to both lists, so none reaches into the next."""
+        a, b = self.encode_pair(segments)
+        raw = [s.encode() for s in segments]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        na, nb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+        flat_a, flat_b = np.concatenate(a).astype(np.int64), np.fromiter(chain.from_iterable(b), np.int64, int(nb.sum()))
+        wide_a, wide_b = self.a_size[flat_a], self.b_size[flat_b]
+        same = np.ones(len(raw), bool)
+        joined = b"".join(raw)
+        for ids, n, width, of in ((flat_a, na, wide_a, self.a_bytes), (flat_b, nb, wide_b, self.b_bytes)):
+            same &= np.add.reduceat(width, np.cumsum(n) - n) == size
+            if b"".join([of[k] for k in ids.tolist()]) != joined:
+                ends = np.cumsum(n).tolist()
+                same &= np.array([b"".join([of[k] for k in ids[e - m: e].tolist()]) == x for e, m, x in zip(ends, n.tolist(), raw)])
+        keep_a, keep_b = np.repeat(same, na), np.repeat(same, nb)
+        ends = common_ends(np.cumsum(wide_a[keep_a]).tolist(), np.cumsum(wide_b[keep_b]).tolist())
+        at = np.array(ends, np.int64).reshape(-1, 2)
+        links = flat_a[keep_a][at[:, 0]] * B_IDS + flat_b[keep_b][at[:, 1]]
+        show_a, show_b = list(map(str, flat_a[keep_a].tolist())), list(map(str, flat_b[keep_b].tolist()))
+        cut = [",".join(show_a[x.start: x.stop]) + "|" + ",".join(show_b[y.start: y.stop]) for x, y in groups(ends)]
+        # groups up to each segment's end: those whose token is before the end of its tokens
+        upto = np.searchsorted(at[:, 0], np.cumsum(np.where(same, na, 0)))
+        per = np.diff(upto, prepend=0)
+        for segment, lo, hi in zip(segments, (upto - per).tolist(), upto.tolist()):
             self.known[segment] = len(self.shown)
-            self.shown.append(";".join(
-                ",".join([str(a[i]) for i in x]) + "|" + ",".join([str(b[j]) for j in y]) for x, y in cut))
-            self.sizes.append((len(a), len(b), len(cut), same))
-            self.tokens += len(a) + len(b)
+            self.shown.append(";".join(cut[lo:hi]))
+        self.sizes = np.concatenate([self.sizes, np.stack([na, nb, per, same.astype(np.int64)], 1)])
+        self.start = np.concatenate([self.start, self.start[-1] + upto])
+        self.links = np.concatenate([self.links, links])
 
     def align(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
         """n_a, n_b, n_groups, groups_sha256 and the links (codes, one each) of every text."""
         split = [_SEGMENT.findall(" " + x) if self.splits else [" " + x] for x in texts]
-        if len(self.known) > _CACHE or self.tokens > _CACHE_TOKENS:
+        if len(self.known) > _CACHE or len(self.links) > _CACHE_LINKS:
             self._clear()
-        new = list(dict.fromkeys(s for some in split for s in some if s not in self.known))
+        known = self.known
+        new = list(dict.fromkeys(s for some in split for s in some if s not in known))
         if new:
             self._learn(new)
-        known, shown, sizes, links = self.known, self.shown, np.array(self.sizes, np.int64).reshape(-1, 4), self.links
+        shown = self.shown
         for text, some in zip(texts, split):
             at = [known[s] for s in some]
-            total = sizes[at].sum(axis=0).tolist()
-            if not text or total[3] < len(at):
+            places = np.array(at, np.int64)
+            n_a, n_b, n, same = self.sizes[places].sum(axis=0).tolist()
+            if not text or same < len(at):
                 yield 0, 0, 0, "", np.zeros(0, np.int64)
                 continue
-            digest = hashlib.sha256(";".join([shown[k] for k in at]).encode()).hexdigest()
-            yield *total[:3], digest, np.concatenate([links[k] for k in at])
+            per = self.sizes[places, 2]
+            ends = np.cumsum(per)
+            links = self.links[np.arange(n) + np.repeat(self.start[places] - ends + per, per)]
+            yield n_a, n_b, n, hashlib.sha256(";".join([shown[k] for k in at]).encode()).hexdigest(), links
 
 
 @lru_cache(maxsize=1)
