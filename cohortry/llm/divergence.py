@@ -1,175 +1,169 @@
 """Divergence of sources by the terms they favour.
 
 Kept terms of a language, those in at least ``min_docs`` of its documents, are found by iceberg prefix refinement: byte
-prefixes of 3, 6, 12, ... bytes, each level counting the distinct documents of the prefixes whose shorter prefix passed.
+prefixes of 5, 10, 20, ... bytes, each level counting the distinct documents of the prefixes whose shorter prefix passed.
 No term is in more documents than any of its prefixes, so a prefix below the threshold takes all its terms with it. A
 term that ends within a level's length is followed by a zero byte there: its count is final. The levels end when only
 complete terms remain.
 
 The passed prefixes go to the tasks as a bitmap of their hashes, of a fixed largest size. A collision keeps a prefix one
-level longer and never changes a result, for every level counts exactly.
+level longer and never changes a result, for every level counts exactly. The texts are cut anew at each level: that costs less
+than a written table of every document's terms, and needs no disk.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.llm.common import written
 
-#: Runs of ASCII letters and of all characters beyond ASCII, in the bytes of lower-cased UTF-8.
-_TERM = re.compile(rb"[a-z\x80-\xff]+")
+#: Terms are runs of ASCII letters and of all characters beyond ASCII: bytes that belong to one, and their lower case.
+_BYTES = np.arange(256, dtype=np.uint8)
+_UPPER = (_BYTES >= 65) & (_BYTES <= 90)
+_IN_TERM = _UPPER | ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 128)
+_LOWER = np.where(_UPPER, _BYTES + 32, _BYTES).astype(np.uint8)
 MIN_DOCS = 30
-FIRST_BYTES = 3
+FIRST_BYTES = 5
 SMOOTH = 5
 SCALE = 1_000_000_000
 TOP_TERMS = 50
 #: Bits of the bitmap of passed prefixes: 16 for each, between these bounds (2 MB at most at the upper one's default).
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 27
 _END = b"\x00"
-_HELD_TERMS = 1 << 20
+#: Text of one step inside a task.
+_HELD_BYTES = 12 << 20
 
-_TERMS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("terms", pa.list_(pa.binary())),
-                    ("counts", pa.list_(pa.int32())), ("longest", pa.int32())])
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Stretches of rows with about ``_HELD_BYTES`` of text."""
+    ends = np.cumsum(np.asarray(pc.binary_length(batch.column("text")), np.int64))
+    start = 0
+    while start < batch.num_rows:
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + _HELD_BYTES)))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def terms_of(texts: pa.BinaryArray, least: int = 0) -> tuple[np.ndarray, np.ndarray, pa.BinaryArray]:
+    """Every term of at least ``least`` bytes: the row and the number in the list of distinct terms; that list.
 
-def _lists(flat: list, sizes: list[int], kind: pa.DataType) -> pa.ListArray:
+    Terms are the runs of term bytes; lower-casing and cutting are done for all texts at once.
+    """
+    bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset: texts.offset + len(texts) + 1].astype(np.int64)
+    raw = texts.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[bounds[0]: bounds[-1]] if raw is not None else np.zeros(0, np.uint8)
+    bounds = bounds - bounds[0]
+    inside = _IN_TERM[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:]
+    edge = bounds[(bounds > 0) & (bounds < len(data))]
+    first[edge] = inside[edge]
+    last[edge - 1] = inside[edge - 1]
+    starts, sizes = np.flatnonzero(first), np.flatnonzero(last) + 1
+    sizes = sizes - starts
+    row = np.searchsorted(bounds, starts, side="right") - 1
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, kind))
+    terms = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(_LOWER[data[inside]])])
+    if least > 1:
+        long = sizes >= least
+        terms, row = terms.filter(pa.array(long)), row[long]
+    found = terms.dictionary_encode()
+    return row, np.asarray(found.indices, np.int64), found.dictionary
 
 
-def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct terms of each document that has any, with their counts."""
-    at: list[int] = []
-    terms: list[bytes] = []
-    counts: list[int] = []
-    sizes: list[int] = []
-    longest: list[int] = []
-    for batch in batches:
-        for row, text in enumerate(batch.column(2)):
-            found = Counter(_TERM.findall(text.as_buffer().to_pybytes().lower()))
-            if not found:
-                continue
-            at.append(row)
-            terms.extend(found)
-            counts.extend(found.values())
-            sizes.append(len(found))
-            longest.append(max(map(len, found)))
-            if len(terms) >= _HELD_TERMS or row == batch.num_rows - 1:
-                yield _term_batch(batch, at, terms, counts, sizes, longest)
-                at, terms, counts, sizes, longest = [], [], [], [], []
-        if at:
-            yield _term_batch(batch, at, terms, counts, sizes, longest)
-            at, terms, counts, sizes, longest = [], [], [], [], []
-
-
-def _term_batch(batch, at, terms, counts, sizes, longest) -> pa.RecordBatch:
-    rows = pa.array(at, pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [batch.column(0).take(rows), batch.column(1).take(rows), _lists(terms, sizes, pa.binary()),
-         _lists(counts, sizes, pa.int32()), pa.array(longest, pa.int32())], schema=_TERMS)
-
-
-def document_terms(docs: DataFrame) -> DataFrame:
-    """lang, source, terms, counts, longest of every document with a term; written, for every level reads it."""
-    rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")],
-                       F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    return written(rows.mapInArrow(
-        _term_rows, "lang string, source string, terms array<binary>, counts array<int>, longest int"), "terms")
-
-
-def _place(lang: str, prefix: bytes, bits: int) -> int:
-    return xxhash.xxh64_intdigest(lang.encode() + _END + prefix) & (bits - 1)
-
-
-def level_key(term: bytes, length: int) -> bytes:
-    """The first ``length`` bytes of a term and its end mark."""
-    return (term + _END)[:length]
-
-
-def _keys(langs: list[str], lang_at: np.ndarray, terms: list[bytes], term_at: np.ndarray, length: int, before: int,
-          bitmap: np.ndarray | None) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Per (language, term): the number of its key or -1; the keys; their language."""
-    bits = 8 * len(bitmap) if bitmap is not None else 0
-    passed: dict[tuple[int, bytes], bool] = {}
-    numbers: dict[tuple[int, bytes], int] = {}
-    out = np.full(len(lang_at), -1, np.int64)
-    for i, (g, t) in enumerate(zip(lang_at.tolist(), term_at.tolist())):
-        term = terms[t]
-        if bits:
-            if len(term) < before:
-                continue
-            prefix = (g, term[:before])
-            ok = passed.get(prefix)
-            if ok is None:
-                place = _place(langs[g], prefix[1], bits)
-                ok = passed[prefix] = bool(bitmap[place >> 3] >> (place & 7) & 1)
-            if not ok:
-                continue
-        out[i] = numbers.setdefault((g, level_key(term, length)), len(numbers))
-    return out, [k for _, k in numbers], np.fromiter((g for g, _ in numbers), np.int64, len(numbers))
+def _coded(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    found = column.dictionary_encode()
+    return np.asarray(found.indices, np.int64), found.dictionary
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and the times of each; numpy sorts faster than it hashes."""
+    values = np.sort(values)
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return values[first], np.diff(first, append=len(values))
 
 
-_LEVEL = pa.schema([("lang", pa.string()), ("source", pa.string()), ("key", pa.binary()), ("docs", pa.int64()), ("n", pa.int64())])
+def _places(lang: str, prefixes: list[bytes], bits: int) -> np.ndarray:
+    """The bit of each of a language's prefixes."""
+    seed = xxhash.xxh64_intdigest(lang.encode())
+    return np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in prefixes), np.uint64, len(prefixes)) & np.uint64(bits - 1)
+
+
+def _passed(bitmap: np.ndarray, langs: pa.Array, prefixes: pa.Array, at: np.ndarray) -> np.ndarray:
+    """Whether each ``language * len(prefixes) + prefix`` of ``at`` has its bit."""
+    ok = np.zeros((len(langs), len(prefixes)), bool)
+    ok.ravel()[at] = True
+    for lang, row in zip(langs.to_pylist(), ok):
+        present = np.flatnonzero(row)
+        places = _places(lang, prefixes.take(pa.array(present)).to_pylist(), 8 * len(bitmap))
+        row[present] = bitmap[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8) & 1
+    return ok.ravel()[at]
+
+
+def level_keys(terms: pa.BinaryArray, length: int) -> pa.BinaryArray:
+    """The first ``length`` bytes of each term and its end mark."""
+    return pc.binary_slice(pc.binary_join_element_wise(terms, pa.scalar(_END), pa.scalar(b"")), 0, length)
 
 
 def _level_rows(batches: Iterator[pa.RecordBatch], length: int, before: int, bitmap) -> Iterator[pa.RecordBatch]:
-    """Per batch and (language, source, key): documents with a term of the key, and occurrences of its terms."""
+    """Per slice and (language, key): the documents with a term of the key whose shorter prefix passed."""
     bitmap = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
     for whole in batches:
         for batch in _slices(whole):
-            lang, source = batch.column(0).dictionary_encode(), batch.column(1).dictionary_encode()
-            langs, sources = lang.dictionary.to_pylist(), source.dictionary.to_pylist()
-            lang_of, source_of = (np.asarray(x.indices, np.int64) for x in (lang, source))
-            sizes = np.asarray(batch.column(2).value_lengths(), np.int64)
-            doc = np.repeat(np.arange(batch.num_rows), sizes)
-            counts = np.asarray(batch.column(3).flatten(), np.int64)
-            term = batch.column(2).flatten().dictionary_encode()
-            terms = term.dictionary.to_pylist()
-            pairs, at = np.unique(lang_of[doc] * len(terms) + np.asarray(term.indices, np.int64), return_inverse=True)
-            numbers, keys, key_lang = _keys(
-                langs, pairs // max(len(terms), 1), terms, pairs % max(len(terms), 1), length, before, bitmap)
-            key = numbers[at]
-            alive = key >= 0
-            if not alive.any():
+            row, term, terms = terms_of(batch.column("text"), before)
+            if not len(row):
                 continue
-            width = len(keys)
-            # a document counts once for all its terms of a key
-            once, where = np.unique(doc[alive] * width + key[alive], return_inverse=True)
-            n = np.bincount(where, weights=counts[alive])
-            groups, where = np.unique(source_of[once // width] * width + once % width, return_inverse=True)
-            of = groups % width
+            lang_of, langs = _coded(batch.column("lang"))
+            if bitmap is not None:
+                prefix, prefixes = _coded(pc.binary_slice(terms, 0, before))
+                alive = _passed(bitmap, langs, prefixes, lang_of[row] * len(prefixes) + prefix[term])
+                row, term = row[alive], term[alive]
+            key, keys = _coded(level_keys(terms, length))
+            # a document counts once for all its terms of a key, which are of its one language
+            once, _ = _distinct(row * len(keys) + key[term])
+            docs = np.bincount(lang_of[once // len(keys)] * len(keys) + once % len(keys))
+            at = np.flatnonzero(docs)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([langs[g] for g in key_lang[of].tolist()], pa.string()),
-                 pa.array([sources[s] for s in (groups // width).tolist()], pa.string()),
-                 pa.array([keys[k] for k in of.tolist()], pa.binary()),
-                 pa.array(np.bincount(where), pa.int64()),
-                 pa.array(np.bincount(where, weights=n).astype(np.int64), pa.int64())], schema=_LEVEL)
+                [langs.take(pa.array(at // len(keys))), keys.take(pa.array(at % len(keys))), pa.array(docs[at])],
+                names=["lang", "key", "docs"])
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Stretches of rows with about ``_HELD_TERMS`` terms."""
-    ends = np.cumsum(np.asarray(batch.column(2).value_lengths(), np.int64))
-    start = 0
-    while start < batch.num_rows:
-        done = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, done + _HELD_TERMS)))
-        yield batch.slice(start, stop - start)
-        start = stop
+def _count_rows(batches: Iterator[pa.RecordBatch], bitmap) -> Iterator[pa.RecordBatch]:
+    """Per slice and (language, source, term with its end mark): occurrences of the terms in the bitmap."""
+    bitmap = np.frombuffer(bitmap.value, np.uint8)
+    for whole in batches:
+        for batch in _slices(whole):
+            row, term, terms = terms_of(batch.column("text"))
+            if not len(row):
+                continue
+            (lang_of, langs), (source_of, sources) = _coded(batch.column("lang")), _coded(batch.column("source"))
+            keys = level_keys(terms, 1 << 30)
+            alive = _passed(bitmap, langs, keys, lang_of[row] * len(keys) + term)
+            group = (lang_of * len(sources) + source_of)[row[alive]]
+            found, n = _distinct(group * len(keys) + term[alive])
+            group = found // len(keys)
+            yield pa.RecordBatch.from_arrays(
+                [langs.take(pa.array(group // len(sources))), sources.take(pa.array(group % len(sources))),
+                 keys.take(pa.array(found % len(keys))), pa.array(n)], names=["lang", "source", "key", "n"])
 
 
 def _bitmap_words(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     held = np.zeros(bits // 64, np.uint64)
     for batch in batches:
-        places = np.array([_place(g, k, bits) for g, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], np.int64)
-        np.bitwise_or.at(held, places >> 6, np.uint64(1) << (places & 63).astype(np.uint64))
+        lang_of, langs = _coded(batch.column(0))
+        for g, lang in enumerate(langs.to_pylist()):
+            places = _places(lang, batch.column(1).filter(pa.array(lang_of == g)).to_pylist(), bits)
+            np.bitwise_or.at(held, places >> np.uint64(6), np.uint64(1) << (places & np.uint64(63)))
     words = np.flatnonzero(held)
     yield pa.RecordBatch.from_arrays(
         [pa.array(words, pa.int64()), pa.array(held[words].view(np.int64), pa.int64())], names=["word", "bits"])
@@ -191,30 +185,31 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     Every row is a document, also where ids repeat; a term counts once a document. NULL text, lang and source are ''.
     """
     spark = docs.sparkSession
-    terms = document_terms(docs)
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    rows = docs.select(name("lang"), name("source"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    texts = rows.select("lang", "text")
     length, before, bitmap = FIRST_BYTES, 0, None
-    parts = []
+    complete = []
     while True:
-        level = terms.filter(F.col("longest") >= before).select("lang", "source", "terms", "counts").mapInArrow(
-            lambda it, a=length, b=before, c=bitmap: _level_rows(it, a, b, c),
-            "lang string, source string, key binary, docs long, n long")
-        level = written(level.groupBy("lang", "source", "key").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")), "level")
-        complete = F.expr("endswith(key, X'00')")
+        level = texts.mapInArrow(
+            lambda it, a=length, b=before, c=bitmap: _level_rows(it, a, b, c), "lang string, key binary, docs long")
         passed = written(level.groupBy("lang", "key").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
-                         .select("lang", "key", complete.alias("complete")), "passed")
-        term = F.expr("cast(substring(key, 1, octet_length(key) - 1) as string)")
-        parts.append(level.filter(complete).join(passed.filter("complete"), ["lang", "key"])
-                     .select("lang", "source", term.alias("term"), "n"))
+                         .select("lang", "key", F.expr("endswith(key, X'00')").alias("complete")), "passed")
+        complete.append(passed.filter("complete").select("lang", "key"))
         longer = passed.filter("not complete")
         n = longer.count()
         if not n:
             break
         bitmap = spark.sparkContext.broadcast(bitmap_of(longer, n))
         length, before = 2 * length, length
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return written(out, "kept-terms")
+    kept = complete[0]
+    for part in complete[1:]:
+        kept = kept.unionByName(part)
+    bitmap = spark.sparkContext.broadcast(bitmap_of(kept, kept.count()))
+    counts = rows.mapInArrow(lambda it, a=bitmap: _count_rows(it, a), "lang string, source string, key binary, n long")
+    term = F.expr("cast(substring(key, 1, octet_length(key) - 1) as string)")
+    return written(counts.groupBy("lang", "source", "key").agg(F.sum("n").alias("n")).join(kept, ["lang", "key"])
+                   .select("lang", "source", term.alias("term"), "n"), "kept-terms")
 
 
 def _share(count: Column, total: Column, terms: Column) -> Column:

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from cohortry.llm import align, archives, divergence
@@ -155,7 +156,7 @@ def test_divergence_equals_brute_force(spark, monkeypatch, bits):
     if bits:  # a bitmap full of collisions only passes more prefixes on
         monkeypatch.setattr(divergence, "MIN_BITS", bits)
         monkeypatch.setattr(divergence, "MAX_BITS", bits)
-    monkeypatch.setattr(divergence, "_HELD_TERMS", 50)
+    monkeypatch.setattr(divergence, "_HELD_BYTES", 500)
     rows = divergence_rows()
     docs = spark.createDataFrame([(*r, 1, "c") for r in rows], "text string, lang string, source string, n long, terms string")
     out = divergence.divergence(docs.repartition(3), min_docs=8, top=7)
@@ -170,15 +171,30 @@ def test_divergence_of_nothing(spark):
         ("en", "s", "pair", "t", 0, 1), ("en", "t", "pair", "s", 0, 1)]
 
 
+def level(rows, length, before, bitmap):
+    batch = pa.RecordBatch.from_pylist(rows, schema=pa.schema([("lang", pa.string()), ("text", pa.binary())]))
+    held = bitmap and type("Held", (), {"value": bitmap})
+    return sorted(tuple(r.values()) for b in divergence._level_rows(iter([batch]), length, before, held) for r in b.to_pylist())
+
+
 def test_refinement_drops_what_did_not_pass():
-    terms, one = [b"abcd", b"zzzz", b"ab", b"abc"], np.zeros(4, np.int64)
-    first, keys, _ = divergence._keys(["en"], one, terms, np.arange(4), 3, 0, None)
-    assert [keys[k] for k in first] == [b"abc", b"zzz", b"ab\0", b"abc"]
-    bitmap = np.zeros(1 << 13, np.uint8)
-    place = divergence._place("en", b"abc", 1 << 16)
+    rows = [{"lang": "en", "text": b"abcd ZZZZ abce"}, {"lang": "en", "text": b"ab"}, {"lang": "de", "text": b"Abcd"}]
+    assert level(rows, 3, 0, None) == [("de", b"abc", 1), ("en", b"ab\0", 1), ("en", b"abc", 1), ("en", b"zzz", 1)]
+    bitmap = bytearray(1 << 13)
+    place = int(divergence._places("en", [b"abc"], 1 << 16)[0])
     bitmap[place >> 3] |= 1 << (place & 7)
-    second, keys, _ = divergence._keys(["en"], one, terms, np.arange(4), 6, 3, bitmap)
-    assert second.tolist() == [0, -1, -1, 1] and keys == [b"abcd\0", b"abc\0"]
+    assert level(rows, 6, 3, bytes(bitmap)) == [("en", b"abcd\0", 1), ("en", b"abce\0", 1)]
+
+
+def test_terms_of_equal_the_pattern():
+    texts = ["", "Ab-cD", "über", "", "x", "1", "a b", "語A", "Z"]
+    column = pa.array([t.encode() for t in ["cut", *texts]], pa.binary()).slice(1)
+    row, term, terms = divergence.terms_of(column)
+    found = [(r, terms[t].as_py().decode()) for r, t in zip(row.tolist(), term.tolist())]
+    assert found == [(k, w) for k, t in enumerate(texts) for w in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t.lower())]
+    _, term, terms = divergence.terms_of(column, 4)
+    assert [terms[t].as_py() for t in term.tolist()] == ["über".encode(), "語a".encode()]
+    assert not len(divergence.terms_of(pa.array([], pa.binary()))[0]) and not len(divergence.terms_of(pa.array([b""], pa.binary()))[0])
 
 
 # ------------------------------------------------------------------ alignment
