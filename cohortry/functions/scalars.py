@@ -16,6 +16,11 @@ def hash32(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
+def hash60(text: Column) -> Column:
+    """First 15 hex digits of MD5: like :func:`hash32`, wide enough to pick from any number of units."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def safe_ratio(numerator: Column, denominator: Column) -> Column:
     """numerator / denominator, NULL when the denominator is zero or NULL."""
     return F.when(denominator != 0, numerator.cast("double") / denominator.cast("double"))

@@ -1,11 +1,10 @@
 """Bootstrap by hash: multinomial weights, weighted metrics, percentile intervals.
 
 A draw table holds (stratum columns, unit, rep, w): how often a unit was drawn
-in a replicate.  The pick of slot r is md5(seed:rep:stratum:r) modulo the
-stratum size, so every engine and every rerun gets the same draws, and one draw
-serves all models.  Metrics take a weight column and treat ``rep`` as one more
-key, so a bootstrap is a join plus a grouped metric, never a loop.  Large
-replicate counts can be run in slices through ``reps`` and united afterwards.
+in a replicate.  One draw serves all models.  Metrics here take a weight column
+and treat ``rep`` as one more key, so a bootstrap is a join plus a grouped
+metric, never a loop.  :mod:`replicates` draws the units and holds the same
+metrics on blocks of replicates, for the usual thousands of them.
 """
 
 from __future__ import annotations
@@ -15,11 +14,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.lineage import settle
-from ..functions.scalars import hash32
 from .metrics_class import ranking, within_fold_auroc
 from .metrics_surv import pool_components
-from .ordered import exact_quantiles, hash_row_number, value_ranks
+from .ordered import exact_quantiles, join_null_safe, value_ranks
 from .pairs import concordance
+from .replicates import draw_blocks, long_weights
 
 Metric = Callable[[DataFrame, Sequence[str], str], DataFrame]
 
@@ -28,28 +27,16 @@ def draw_weights(
     units: DataFrame, strata: Sequence[str], unit: str, reps: range | int, seed: int = 42
 ) -> DataFrame:
     """(strata, unit, rep, w) for units drawn with replacement inside their stratum."""
-    strata = list(strata)
-    reps = range(reps) if isinstance(reps, int) else reps
-    base = units.select(*strata, unit).distinct()
-    numbered = hash_row_number(base, strata, unit, f"{seed}:")
-    numbered = settle(numbered.select(*strata, unit, (F.col("rn") - 1).alias("slot")))
-    sizes = numbered.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
-    if strata:
-        sized = numbered.join(sizes, strata)
-    else:
-        sized = numbered.withColumn("_n", sizes.scalar())
-    replicates = F.sequence(F.lit(reps.start), F.lit(reps.stop - 1), F.lit(reps.step))
-    long = sized.withColumn("rep", F.explode(replicates))
-    name = F.concat_ws("|", *[F.col(s).cast("string") for s in strata]) if strata else F.lit("")
-    text = F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), name, F.col("slot").cast("string"))
-    picked = long.select(*strata, "rep", (hash32(text) % F.col("_n")).alias("slot"))
-    counts = picked.groupBy(*strata, "rep", "slot").agg(F.count(F.lit(1)).alias("w"))
-    return counts.join(numbered, [*strata, "slot"]).select(*strata, unit, "rep", "w")
+    last = reps.stop if isinstance(reps, range) else reps
+    long = long_weights(draw_blocks(units, strata, unit, last, seed), last)
+    if isinstance(reps, range):
+        long = long.where((F.col("rep") >= reps.start) & ((F.col("rep") - reps.start) % reps.step == 0))
+    return long.select(*strata, unit, "rep", "w")
 
 
 def replicate(df: DataFrame, weights: DataFrame, on: Sequence[str], metric: Metric, keys: Sequence[str]) -> DataFrame:
     """(keys, rep, value) of a weighted metric over all replicates in one job."""
-    joined = df.join(weights.select(*on, "rep", "w"), list(on))
+    joined = join_null_safe(df, weights.select(*on, "rep", "w"), on)
     return metric(joined, [*keys, "rep"], "w")
 
 

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.lineage import settle
-from ..operators import metrics_class as mc, rankstats as rs, resample as rb
-from ..operators.pairs import concordance
+from ..operators import metrics_class as mc, rankstats as rs, replicates as rp, resample as rb
 from ..operators.metrics_surv import grouped_concordance
 from . import views
 from .q_class_rank import _PCT, _WIDE, called, rounded, wide_percentiles, wide_scores
-from .q_surv import pair_sql
 from .registry import query
 
 
+#: Replicates of the audits and of the analyses.
+AUDIT, PUBLISHED = 1000, 2000
+
+
 def draw_sql(strata: str, unit: str, source: str, reps: int, seed: int = 42) -> str:
     """CTE bw(strata, unit, rep, w): the same hash draws in SQL."""
     cols = [c.strip() for c in strata.split(",") if c.strip()]
@@ -23,7 +25,7 @@ def draw_sql(strata: str, unit: str, source: str, reps: int, seed: int = 42) ->
     on = " and ".join([f"dr.{c}=nb.{c}" for c in cols] + ["dr.pick=nb.slot"])
     return f"""nb0 as (select distinct {lead}{unit} from {source}),
 nb as (select {lead}{unit}, row_number() over ({part} order by md5('{seed}:'||{unit}), {unit})-1 slot, count(*) over ({part}) n from nb0),
-dr as (select {lead}rep, ('0x'||substr(md5('{seed}:'||rep||':'||{name}||':'||slot),1,8))::bigint % n pick, count(*) w
+dr as (select {lead}rep, ('0x'||substr(md5('{seed}:'||rep||':'||{name}||':'||slot),1,15))::bigint % n pick, count(*) w
  from nb cross join (select unnest(range({reps})) rep) group by all),
 bw as (select {''.join(f'nb.{c}, ' for c in cols)}nb.{unit}, rep, w from dr join nb on {on})"""
 
@@ -50,54 +52,45 @@ def ci_round(df: DataFrame) -> DataFrame:
 _BASE = "(select * from predictions where model='base')"
 
 
-@query("i01_boot_cluster", "with " + draw_sql("", "group_id", _BASE, 100) + f""",
+@query("i01_boot_cluster", "with " + draw_sql("", "group_id", _BASE, AUDIT) + f""",
 j as (select p.*, rep, w from predictions p join bw using (group_id) where model='base'),
-""" + auc_w("stratum, rep", "j", "a") + ci_sql("stratum", "a", 100, 100, "auroc"), ("predictions",))
+""" + auc_w("stratum, rep", "j", "a") + ci_sql("stratum", "a", AUDIT, 800, "auroc"), ("predictions",))
 def i01(spark, sf):
     pred = views.predictions(spark, sf).where("model = 'base'")
-    weights = rb.draw_weights(pred, [], "group_id", 100)
-    draws = rb.replicate(pred, weights, ["group_id"], rb.auroc_metric, ["stratum"])
-    return ci_round(rb.intervals(draws, ["stratum"], 100, share=0.8, at_least=100))
+    blocks = rp.draw_blocks(pred, [], "group_id", AUDIT)
+    draws = rp.one_value(pred, blocks, ["group_id"], rp.RANKING, ["stratum"], AUDIT, "auroc")
+    return ci_round(rb.intervals(draws, ["stratum"], AUDIT, share=0.8, at_least=100))
 
 
 _DISP = f"{_PCT}, dd as (select *, d as rank_dispersion from disp)"
 
 
-@query("i02_boot_cluster_strict", f"with {_PCT}," + draw_sql("", "group_id", "disp", 25) + """,
+@query("i02_boot_cluster_strict", f"with {_PCT}," + draw_sql("", "group_id", "disp", PUBLISHED) + """,
 j as (select stratum, rep, d, unnest(range(w)) from disp join bw using (group_id)),
 m as (select stratum, rep, quantile_cont(d, 0.5) as value from j group by 1,2)
-""" + ci_sql("stratum", "m", 25, 22), ("predictions",))
+""" + ci_sql("stratum", "m", PUBLISHED, 1800), ("predictions",))
 def i02(spark, sf):
     wide = settle(wide_percentiles(spark, sf))
-    weights = rb.draw_weights(wide, [], "group_id", 25)
-    draws = rb.replicate(wide, weights, ["group_id"], rb.median_metric("rank_dispersion"), ["stratum"])
-    return ci_round(rb.intervals(draws, ["stratum"], 25, share=0.9, at_least=20))
+    blocks = rp.draw_blocks(wide, [], "group_id", PUBLISHED)
+    draws = rp.one_value(wide, blocks, ["group_id"], rp.median_metric("rank_dispersion"), ["stratum"], PUBLISHED)
+    return ci_round(rb.intervals(draws, ["stratum"], PUBLISHED, share=0.9, at_least=20))
 
 
-def _weighted_pairs(keys: str, scope: str, tied: bool, source: str = "j", name: str = "pr", risk: str = "score") -> str:
-    return pair_sql(keys, scope, tied=tied, source=source, name=name, risk=risk).replace(
-        "count(*) w", "sum(w) w"
-    )
+# Weighted pair counts of a thousand replicates are too slow in SQL; tests hold these queries against counts by pairs.
 
 
-_C = "(concordant+0.5*tied)/nullif(pairs,0)"
+def patient_paired(pred: DataFrame, reps: int) -> DataFrame:
+    """Concordance of every model and its difference from ``base`` over shared draws of patients."""
+    blocks = rp.draw_blocks(pred, [], "unit_id", reps)
+    draws = settle(rp.scoped_concordance(pred, blocks, ["unit_id"], ["model"], ["fold", "stratum"], reps, tied_censoring=True))
+    deltas = rb.paired_difference(draws, [], "model", "base")
+    absolute = rb.intervals(draws, ["model"], reps).withColumn("kind", F.lit("absolute"))
+    return absolute.unionByName(rb.intervals(deltas, ["model"], reps).withColumn("kind", F.lit("paired")))
 
 
-@query("i03_boot_patient_paired", "with " + draw_sql("", "unit_id", "predictions", 20) + """,
-j as (select p.*, rep, w from predictions p join bw using (unit_id)),
-""" + _weighted_pairs("model, rep", "fold, stratum", True) + f""",
-c as (select model, rep, {_C} v from pr), d as (select c.model, c.rep, c.v - b.v as value from c join c b on c.rep=b.rep and b.model='base' where c.model<>'base')
-select * from (select 'absolute' kind, * from ({ci_sql('model', 'c', 20, 0, 'v')})) union all select * from (select 'paired', * from ({ci_sql('model', 'd', 20)}))""",
-       ("predictions",))
+@query("i03_boot_patient_paired")
 def i03(spark, sf):
-    pred = settle(views.predictions(spark, sf))
-    weights = rb.draw_weights(pred, [], "unit_id", 20)
-    metric = rb.concordance_metric(["fold", "stratum"], tied_censoring=True)
-    draws = settle(rb.replicate(pred, weights, ["unit_id"], metric, ["model"]))
-    deltas = rb.paired_difference(draws, [], "model", "base")
-    absolute = rb.intervals(draws, ["model"], 20).withColumn("kind", F.lit("absolute"))
-    paired = rb.intervals(deltas, ["model"], 20).withColumn("kind", F.lit("paired"))
-    return ci_round(absolute.unionByName(paired))
+    return ci_round(patient_paired(settle(views.predictions(spark, sf)), AUDIT))
 
 
 _GROUPS = "pu as (select model, group_id, min(outcome) outcome, avg(score) score, min(fold) fold from predictions group by 1,2)"
@@ -107,91 +100,74 @@ def patients(spark, sf) -> DataFrame:
     return mc.by_unit(views.predictions(spark, sf), ["model"])
 
 
-@query("i04_boot_fold_label", f"with {_GROUPS}," + draw_sql("fold, outcome", "group_id", "pu", 50) + """,
+@query("i04_boot_fold_label", f"with {_GROUPS}," + draw_sql("fold, outcome", "group_id", "pu", PUBLISHED) + """,
 j as (select pu.*, rep, w from pu join bw using (group_id)),
 """ + auc_w("model, fold, rep", "j", "a") + """,
 v as (select model, rep, sum(u)/nullif(sum(pairs),0) as value from a group by 1,2)
-""".replace(",\nv as", ", v as") + ci_sql("model", "v", 50), ("predictions",))
+""".replace(",\nv as", ", v as") + ci_sql("model", "v", PUBLISHED), ("predictions",))
 def i04(spark, sf):
     units = settle(patients(spark, sf))
-    weights = rb.draw_weights(units, ["fold", "outcome"], "group_id", 50)
-    draws = rb.replicate(units, weights, ["group_id"], rb.fold_auroc_metric, ["model"])
-    return ci_round(rb.intervals(draws, ["model"], 50))
-
+    blocks = rp.draw_blocks(units, ["fold", "outcome"], "group_id", PUBLISHED)
+    return ci_round(rb.intervals(rp.fold_auroc(units, blocks, ["group_id"], ["model"], PUBLISHED), ["model"], PUBLISHED))
 
-_I05 = "with " + draw_sql("stratum, fold", "unit_id", "predictions", 20) + """,
-j as (select p.*, rep, w from predictions p join bw using (unit_id)),
-""" + _weighted_pairs("model, stratum, rep", "fold", True) + "," + pair_sql("stratum", "fold", tied=True, source=_BASE, name="fz") + f""",
-c as (select model, stratum, rep, {_C} v from pr),
-fr as (select stratum, n::double weight from (select stratum, count(*) n, sum(event) e from predictions where model='base' group by 1)
- join fz using (stratum) where n>=40 and e>=20 and pairs>=100)"""
 
-
-def _stratum_draws(spark, sf):
-    pred = settle(views.predictions(spark, sf))
-    weights = rb.draw_weights(pred, ["stratum", "fold"], "unit_id", 20)
-    metric = rb.concordance_metric(["fold"], tied_censoring=True)
-    return pred, settle(rb.replicate(pred, weights, ["unit_id"], metric, ["model", "stratum"]))
+def stratum_draws(pred: DataFrame, reps: int) -> DataFrame:
+    """(model, stratum, rep, value): units drawn inside stratum and fold."""
+    blocks = rp.draw_blocks(pred, ["stratum", "fold"], "unit_id", reps)
+    return settle(rp.scoped_concordance(pred, blocks, ["unit_id"], ["model", "stratum"], ["fold"], reps, tied_censoring=True))
 
 
-@query("i05_boot_stratum_fold", _I05 + """,
-mw as (select model, rep, case when count(v)=(select count(*) from fr) then sum(v*weight)/sum(weight) end v from c join fr using (stratum) group by 1,2),
-ok as (select rep, count(v)=count(*) ok from mw group by 1),
-d as (select m.model, m.rep, case when ok then m.v-b.v end as value from mw m join mw b on m.rep=b.rep and b.model='base' join ok on ok.rep=m.rep where m.model<>'base')
-""" + ci_sql("model", "d", 20, 19), ("predictions",))
-def i05(spark, sf):
-    pred, draws = _stratum_draws(spark, sf)
+def frozen_deltas(pred: DataFrame, draws: DataFrame, reps: int, *, units: int = 40, events: int = 20, pairs: int = 100) -> DataFrame:
+    """Differences of the mean over strata that were eligible on the original data, with their original weights."""
     base = pred.where("model = 'base'")
     support = base.groupBy("stratum").agg(F.count(F.lit(1)).cast("double").alias("weight"), F.sum("event").alias("e"))
     point = grouped_concordance(base, ["stratum"], ["fold"], tied_censoring=True)
-    frozen = settle(support.join(point, "stratum").where("weight >= 40 AND e >= 20 AND pairs >= 100"))
+    frozen = settle(support.join(point, "stratum").where(f"weight >= {units} AND e >= {events} AND pairs >= {pairs}"))
     means = rb.frozen_mean(draws, frozen, ["model", "rep"], "stratum")
     deltas = rb.paired_difference(rb.complete_replicates(settle(means), "model"), [], "model", "base")
-    return ci_round(rb.intervals(deltas, ["model"], 20, share=0.95))
+    return rb.intervals(deltas, ["model"], reps, share=0.95)
+
+
+@query("i05_boot_stratum_fold")
+def i05(spark, sf):
+    pred = settle(views.predictions(spark, sf))
+    return ci_round(frozen_deltas(pred, stratum_draws(pred, PUBLISHED), PUBLISHED))
 
 
-@query("i06_boot_fold_in_stratum", _I05 + """,
-d as (select c.stratum, c.model, c.rep, c.v-b.v as value from c join c b on c.rep=b.rep and c.stratum=b.stratum and b.model='base' where c.model<>'base')
-""" + ci_sql("stratum, model", "d", 20), ("predictions",))
+@query("i06_boot_fold_in_stratum")
 def i06(spark, sf):
-    _, draws = _stratum_draws(spark, sf)
-    deltas = rb.paired_difference(draws, ["stratum"], "model", "base")
-    return ci_round(rb.intervals(deltas, ["stratum", "model"], 20))
+    draws = stratum_draws(settle(views.predictions(spark, sf)), PUBLISHED)
+    return ci_round(rb.intervals(rb.paired_difference(draws, ["stratum"], "model", "base"), ["stratum", "model"], PUBLISHED))
 
 
-_I07 = "with " + draw_sql("stratum", "unit_id", "units", 10) + """,
-sch as (select unit_id, model, subgroup, stratum, duration, event, 'kfold' scheme, score from predictions union all
- select unit_id, model, subgroup, stratum, duration, event, 'leave_one_out', round(score/10) from predictions),
-j as (select s.*, rep, w from sch s join bw using (unit_id)),
-""" + _weighted_pairs("scheme, model, rep", "stratum, subgroup", True) + f", c as (select scheme, model, rep, {_C} v from pr)"
+def scheme_deltas(schemes: DataFrame, units: DataFrame, reps: int) -> DataFrame:
+    """Per model: leave-one-out less k-fold concordance over shared draws inside each stratum."""
+    blocks = rp.draw_blocks(units, ["stratum"], "unit_id", reps)
+    draws = settle(rp.scoped_concordance(
+        schemes, blocks, ["unit_id"], ["scheme", "model"], ["stratum", "subgroup"], reps, tied_censoring=True))
+    return rb.intervals(rb.paired_difference(draws, ["model"], "scheme", "kfold"), ["model"], reps)
 
 
-@query("i07_boot_within_stratum", _I07 + """,
-d as (select a.model, a.rep, a.v-b.v as value from c a join c b on a.model=b.model and a.rep=b.rep and a.scheme='leave_one_out' and b.scheme='kfold')
-""" + ci_sql("model", "d", 10), ("predictions",))
+@query("i07_boot_within_stratum")
 def i07(spark, sf):
     pred = views.predictions(spark, sf)
     schemes = pred.withColumn("scheme", F.lit("kfold")).unionByName(
         pred.withColumn("scheme", F.lit("leave_one_out")).withColumn("score", F.round(F.col("score") / 10))
     )
-    weights = rb.draw_weights(views.units(spark, sf), ["stratum"], "unit_id", 10)
-    metric = rb.concordance_metric(["stratum", "subgroup"], tied_censoring=True)
-    draws = settle(rb.replicate(schemes, weights, ["unit_id"], metric, ["scheme", "model"]))
-    deltas = rb.paired_difference(draws, ["model"], "scheme", "kfold")
-    return ci_round(rb.intervals(deltas, ["model"], 10))
+    return ci_round(scheme_deltas(schemes, views.units(spark, sf), PUBLISHED))
 
 
-@query("i08_boot_rows_reference", "with " + draw_sql("", "unit_id", "predictions", 25) + """,
+@query("i08_boot_rows_reference", "with " + draw_sql("", "unit_id", "predictions", AUDIT) + """,
 j as (select p.*, rep, w from predictions p join bw using (unit_id)),
 """ + auc_w("model, rep", "j", "a") + """,
 d as (select a.model, a.rep, a.auroc-b.auroc as value from a join a b on a.rep=b.rep and b.model='fixed__lines' where a.model<>'fixed__lines')
-""" + ci_sql("model", "d", 25, 20), ("predictions",))
+""" + ci_sql("model", "d", AUDIT, 800), ("predictions",))
 def i08(spark, sf):
-    pred = views.predictions(spark, sf)
-    weights = rb.draw_weights(pred, [], "unit_id", 25)
-    draws = settle(rb.replicate(pred, weights, ["unit_id"], rb.auroc_metric, ["model"]))
+    pred = settle(views.predictions(spark, sf))
+    blocks = rp.draw_blocks(pred, [], "unit_id", AUDIT)
+    draws = settle(rp.one_value(pred, blocks, ["unit_id"], rp.RANKING, ["model"], AUDIT, "auroc"))
     deltas = rb.paired_difference(draws, [], "model", "fixed__lines")
-    return ci_round(rb.intervals(deltas, ["model"], 25, share=0.8))
+    return ci_round(rb.intervals(deltas, ["model"], AUDIT, share=0.8))
 
 
 def rank_w(keys: str, source: str, value: str, name: str) -> str:
@@ -202,19 +178,19 @@ def rank_w(keys: str, source: str, value: str, name: str) -> str:
 _CORR = """(sum(w*ra*rb)-sum(w*ra)*sum(w*rb)/sum(w))/sqrt((sum(w*ra*ra)-sum(w*ra)*sum(w*ra)/sum(w))*(sum(w*rb*rb)-sum(w*rb)*sum(w*rb)/sum(w)))"""
 
 
-@query("i09_boot_within_fold_rank", f"with {_WIDE}," + draw_sql("fold", "unit_id", "wide", 20) + """,
+@query("i09_boot_within_fold_rank", f"with {_WIDE}," + draw_sql("fold", "unit_id", "wide", PUBLISHED) + """,
 j as (select wide.*, rep, w from wide join bw using (unit_id)),
 """ + rank_w("fold, rep", "j", "base", "a") + "," + rank_w("fold, rep", "j", "disc", "b") + f""",
 f as (select j.fold, j.rep, sum(w) n, {_CORR.replace('ra', 'a_rank').replace('rb', 'b_rank')} s from j join a using (fold, rep, base) join b using (fold, rep, disc) group by 1,2),
 v as (select 'base~disc' pair, rep, sum(s*n)/sum(n) as value from f group by rep)
-""" + ci_sql("pair", "v", 20, 19), ("predictions",))
+""" + ci_sql("pair", "v", PUBLISHED, 1900), ("predictions",))
 def i09(spark, sf):
     wide = settle(wide_scores(spark, sf))
-    weights = rb.draw_weights(wide, ["fold"], "unit_id", 20)
-    by_fold = rb.replicate(wide, weights, ["unit_id"], rb.spearman_metric("base", "disc"), ["fold"])
+    blocks = rp.draw_blocks(wide, ["fold"], "unit_id", PUBLISHED)
+    by_fold = rp.replicate(wide, blocks, ["unit_id"], rp.spearman_metric("base", "disc"), ["fold"], PUBLISHED)
     draws = rs.fold_weighted(by_fold, ["rep"], "value", "spearman")
     draws = draws.select(F.lit("base~disc").alias("pair"), "rep", F.col("spearman").alias("value"))
-    return ci_round(rb.intervals(draws, ["pair"], 20, share=0.95))
+    return ci_round(rb.intervals(draws, ["pair"], PUBLISHED, share=0.95))
 
 
 @query("i10_percentile_ci", ci_sql("event_type, sample_id", "repeats", 20, 16, "risk_score"), ("repeats",))
@@ -232,7 +208,7 @@ def i11(spark, sf):
     return named.withColumn("seed", rb.metric_seed(42, F.col("id")))
 
 
-_I12 = f"with {_GROUPS}," + draw_sql("", "group_id", "pu", 30) + """,
+_I12 = f"with {_GROUPS}," + draw_sql("", "group_id", "pu", AUDIT) + """,
 j as (select pu.*, rep, w from pu join bw using (group_id)),
 """ + auc_w("model, rep", "j", "a") + "," + auc_w("model", "(select *, 1 w from pu)", "pt") + """,
 v as (select model, rep, 'AUROC' metric, auroc as value from a union all select model, rep, 'AUPRC', ap from a),
@@ -241,46 +217,46 @@ ng as (select count(distinct group_id) g from pu)"""
 
 
 @query("i12_class_metric_ci", _I12 + """
-select c.*, round(q.estimate,6) estimate, g n_groups from (""" + ci_sql("model, metric", "v", 30) + ") c join q using (model, metric), ng", ("predictions",))
+select c.*, round(q.estimate,6) estimate, g n_groups from (""" + ci_sql("model, metric", "v", AUDIT) + ") c join q using (model, metric), ng", ("predictions",))
 def i12(spark, sf):
     units = settle(patients(spark, sf))
-    weights = rb.draw_weights(units, [], "group_id", 30)
-    draws = rb.replicate(units, weights, ["group_id"], rb.class_metrics, ["model"])
+    blocks = rp.draw_blocks(units, [], "group_id", AUDIT)
+    drawn = rp.replicate(units, blocks, ["group_id"], rp.RANKING, ["model"], AUDIT)
+    named = drawn.select("model", "rep", F.col("auroc").alias("AUROC"), F.col("auprc").alias("AUPRC"))
+    draws = named.unpivot(["model", "rep"], ["AUROC", "AUPRC"], "metric", "value")
     point = rb.class_metrics(units.withColumn("w", F.lit(1)), ["model"], "w").withColumnRenamed("value", "estimate")
     groups = units.agg(F.count_distinct("group_id").alias("n")).scalar()
-    out = rb.intervals(draws, ["model", "metric"], 30).join(point, ["model", "metric"])
+    out = rb.intervals(draws, ["model", "metric"], AUDIT).join(point, ["model", "metric"])
     return rounded(ci_round(out.withColumn("n_groups", groups)), 6, "estimate")
 
 
 @query("i13_class_paired_ci", _I12 + """,
 d as (select a.model, a.rep, a.auroc-b.auroc as value from a join a b on a.rep=b.rep and b.model='fixed__lines' where a.model<>'fixed__lines')
-""" + ci_sql("model", "d", 30), ("predictions",))
+""" + ci_sql("model", "d", AUDIT), ("predictions",))
 def i13(spark, sf):
     units = settle(patients(spark, sf))
-    weights = rb.draw_weights(units, [], "group_id", 30)
-    draws = settle(rb.replicate(units, weights, ["group_id"], rb.auroc_metric, ["model"]))
-    return ci_round(rb.intervals(rb.paired_difference(draws, [], "model", "fixed__lines"), ["model"], 30))
+    blocks = rp.draw_blocks(units, [], "group_id", AUDIT)
+    draws = settle(rp.one_value(units, blocks, ["group_id"], rp.RANKING, ["model"], AUDIT, "auroc"))
+    return ci_round(rb.intervals(rb.paired_difference(draws, [], "model", "fixed__lines"), ["model"], AUDIT))
+
 
+def survival_paired(pred: DataFrame, reps: int, reference: str = "fixed__lines") -> DataFrame:
+    """Fold-restricted concordance less the reference model's, over shared draws of groups."""
+    blocks = rp.draw_blocks(pred, [], "group_id", reps)
+    draws = settle(rp.scoped_concordance(pred, blocks, ["group_id"], ["model"], ["fold", "stratum"], reps, tied_censoring=False))
+    return rb.intervals(rb.paired_difference(draws, [], "model", reference), ["model"], reps)
 
-@query("i14_surv_paired_ci", "with " + draw_sql("", "group_id", "predictions", 10) + """,
-j as (select p.*, rep, w from predictions p join bw using (group_id)),
-""" + _weighted_pairs("model, rep", "fold, stratum", False) + f""",
-c as (select model, rep, {_C} v from pr),
-d as (select c.model, c.rep, c.v-b.v as value from c join c b on c.rep=b.rep and b.model='fixed__lines' where c.model<>'fixed__lines')
-""" + ci_sql("model", "d", 10), ("predictions",))
+
+@query("i14_surv_paired_ci")
 def i14(spark, sf):
-    pred = views.predictions(spark, sf)
-    weights = rb.draw_weights(pred, [], "group_id", 10)
-    metric = rb.concordance_metric(["fold", "stratum"], tied_censoring=False)
-    draws = settle(rb.replicate(pred, weights, ["group_id"], metric, ["model"]))
-    return ci_round(rb.intervals(rb.paired_difference(draws, [], "model", "fixed__lines"), ["model"], 10))
+    return ci_round(survival_paired(settle(views.predictions(spark, sf)), AUDIT))
 
 
 _PAIRS = (("base", "price"), ("base", "disc"), ("price", "disc"))
 
 
 def _j12_sql() -> str:
-    text = f"with {_WIDE}," + draw_sql("", "group_id", "wide", 20) + """,
+    text = f"with {_WIDE}," + draw_sql("", "group_id", "wide", PUBLISHED) + """,
 j as (select wide.*, rep, w from wide join bw using (group_id)), k as (select wide.*, 1 w from wide)"""
     parts = []
     for i, (a, b) in enumerate(_PAIRS):
@@ -291,21 +267,20 @@ j as (select wide.*, rep, w from wide join bw using (group_id)), k as (select wi
         text += f""", v{i} as (select stratum, rep, {corr} as value from j join a{i} using (stratum, rep, {a}) join b{i} using (stratum, rep, {b}) group by 1,2),
  p{i} as (select stratum, count(*) n_units, count(distinct group_id) n_patients, {point} e from k join c{i} using (stratum, {a}) join d{i} using (stratum, {b}) group by 1)"""
         parts.append(f"""select '{a}' strategy_a, '{b}' strategy_b, c.*, n_units, n_patients, round(e,6) estimate
- from ({ci_sql('stratum', f'v{i}', 20, 20)}) c join p{i} using (stratum)""")
+ from ({ci_sql('stratum', f'v{i}', PUBLISHED, 1800)}) c join p{i} using (stratum)""")
     return text + " " + " union all ".join(parts)
 
 
 @query("j12_correlation_table", _j12_sql(), ("predictions",))
 def j12(spark, sf):
     wide = settle(wide_scores(spark, sf))
-    weights = settle(rb.draw_weights(wide, [], "group_id", 20))
+    blocks = settle(rp.draw_blocks(wide, [], "group_id", PUBLISHED))
     sizes = wide.groupBy("stratum").agg(F.count_distinct("group_id").alias("n_patients"))
     out = None
     for a, b in _PAIRS:
-        metric = rb.spearman_metric(a, b)
-        draws = rb.replicate(wide, weights, ["group_id"], metric, ["stratum"])
-        ci = rb.intervals(draws, ["stratum"], 20, share=0.9, at_least=20)
-        point = metric(wide.withColumn("w", F.lit(1)), ["stratum"], "w").select(
+        draws = rp.one_value(wide, blocks, ["group_id"], rp.spearman_metric(a, b), ["stratum"], PUBLISHED)
+        ci = rb.intervals(draws, ["stratum"], PUBLISHED, share=0.9, at_least=20)
+        point = rb.spearman_metric(a, b)(wide.withColumn("w", F.lit(1)), ["stratum"], "w").select(
             "stratum", F.col("n").alias("n_units"), F.col("value").alias("estimate")
         )
         part = ci.join(point, "stratum").join(sizes, "stratum").withColumns(
