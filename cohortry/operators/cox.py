@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.lineage import settle
 from ..functions.tails import chi2_tail
-from .ordered import row_number, running_totals
+from .ordered import join_null_safe, row_number, running_totals
 
 
 class CoxFit:
@@ -92,24 +92,61 @@ def fit(
     }).select("k", "_g", "_t", "_e", *[f"z{i}" for i in range(p)]).persist()
     beta = np.zeros((len(keys), p))
     hessian = None
-    for step in range(1, iterations + 1):
-        gradient, hessian = _newton_sums(data, keys, beta, p, pick)
-        gradient -= n[:, None] * penalizer * beta
-        hessian += n[:, None, None] * penalizer * np.eye(p)
-        move = np.linalg.solve(hessian, gradient[:, :, None])[:, :, 0]
-        beta = beta + move
-        if not np.isfinite(beta).all():
-            raise ValueError("non-finite Cox coefficients")
-        if np.abs(move).max() < tolerance:
-            break
-    else:
-        raise ValueError("Cox fit did not converge")
-    data.unpersist()
+    try:
+        for step in range(1, iterations + 1):
+            gradient, hessian = _newton_sums(data, keys, beta, p, pick)
+            gradient -= n[:, None] * penalizer * beta
+            hessian += n[:, None, None] * penalizer * np.eye(p)
+            try:
+                move = np.linalg.solve(hessian, gradient[:, :, None])[:, :, 0]
+            except np.linalg.LinAlgError:
+                raise ValueError("Cox fit did not converge: singular information") from None
+            beta = beta + move
+            if not np.isfinite(beta).all():
+                raise ValueError("non-finite Cox coefficients")
+            if np.abs(move).max() < tolerance:
+                break
+        else:
+            raise ValueError("Cox fit did not converge")
+    finally:
+        data.unpersist()
     inverse = np.linalg.inv(hessian)
     variance = inverse / (sd[:, :, None] * sd[:, None, :])
     return CoxFit(covariates, keys, beta / sd, mean, sd, variance, step)
 
 
+#: Events at one time up to which their terms are rows.
+TIED_ROWS = 1024
+
+
+def efron_sums(d: Column, risk: Column, tied: Column) -> dict[str, Column]:
+    """Sums over l = 0 .. d-1 of 1/v, s/v, 1/v^2, s/v^2 and s^2/v^2 with s = l/d and v = risk - s * tied, tied > 0.
+
+    v = (tied / d) * (a - l) with a = d * risk / tied, so they are differences of the digamma and trigamma functions,
+    taken eight places on and by their asymptotic series there.
+    """
+    low = d * risk / tied - d + 1
+    high = low + d
+    y, z = low + 8, high + 8
+
+    def tail(series: list[float], at: Column, power: int) -> Column:
+        out = F.lit(0.0)
+        for i, c in enumerate(series):
+            out = out + F.lit(c) / F.pow(at, F.lit(power + 2.0 * i))
+        return out
+
+    psi = [-1 / 12, 1 / 120, -1 / 252, 1 / 240]
+    digamma = F.log1p(d / y) - 0.5 / z + 0.5 / y + tail(psi, z, 2) - tail(psi, y, 2)
+    tri = [1 / 6, -1 / 30, 1 / 42, -1 / 30]
+    trigamma = d / (y * z) + 0.5 / (y * y) - 0.5 / (z * z) + tail(tri, y, 3) - tail(tri, z, 3)
+    for i in range(8):
+        digamma = digamma + 1 / (low + i) - 1 / (high + i)
+        trigamma = trigamma + 1 / ((low + i) * (low + i)) - 1 / ((high + i) * (high + i))
+    s0, t0 = d / tied * digamma, (d / tied) * (d / tied) * trigamma
+    return {"_s0": s0, "_s1": (risk * s0 - d) / tied, "_t0": t0, "_t1": (risk * t0 - s0) / tied,
+            "_t2": (risk * risk * t0 - 2 * risk * s0 + d) / (tied * tied)}
+
+
 def _newton_sums(data: DataFrame, keys: list, beta: np.ndarray, p: int, pick):
     zs = [F.col(f"z{i}") for i in range(p)]
     eta = None
@@ -128,15 +165,26 @@ def _newton_sums(data: DataFrame, keys: list, beta: np.ndarray, p: int, pick):
     risk = running_totals(
         steps, ["k", "_g"], "_t", {f"r{name[1:]}": name for name in sums}, descending=True
     ).where("d > 0")
+    x = [F.col(f"x{i}") for i in range(p)]
+    r, e = (lambda *i, c=c: F.col(c + "_".join(map(str, i))) for c in "re")
+    pairs = _upper(p)
     # Efron: the l-th of d tied events sees the risk set minus l/d of the tied sums
-    tied = risk.withColumn("_l", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("d") - 1)))
+    few = risk.where(F.col("d") <= TIED_ROWS).withColumn("_l", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("d") - 1)))
     share = F.col("_l") / F.col("d")
-    den = F.col("r") - share * F.col("e")
-    first = {i: (F.col(f"r{i}") - share * F.col(f"e{i}")) / den for i in range(p)}
-    second = {(a, b): (F.col(f"r{a}_{b}") - share * F.col(f"e{a}_{b}")) / den for a, b in _upper(p)}
-    grads = [(F.sum(F.col(f"x{i}") / F.col("d")) - F.sum(first[i])).alias(f"g{i}") for i in range(p)]
-    hess = [F.sum(second[a, b] - first[a] * first[b]).alias(f"h{a}_{b}") for a, b in _upper(p)]
-    found = {r["k"]: r for r in tied.groupBy("k").agg(*grads, *hess).collect()}
+    den = r() - share * e()
+    first = {i: (r(i) - share * e(i)) / den for i in range(p)}
+    second = {(a, b): (r(a, b) - share * e(a, b)) / den for a, b in pairs}
+    few = few.select("k", *[(x[i] / F.col("d") - first[i]).alias(f"g{i}") for i in range(p)],
+                     *[(second[a, b] - first[a] * first[b]).alias(f"h{a}_{b}") for a, b in pairs])
+    # many events at one time: the same sums over l in closed form
+    s0, s1, t0, t1, t2 = (F.col(c) for c in ("_s0", "_s1", "_t0", "_t1", "_t2"))
+    many = risk.where(F.col("d") > TIED_ROWS).withColumns(efron_sums(F.col("d"), r(), e())).select(
+        "k", *[(x[i] - (r(i) * s0 - e(i) * s1)).alias(f"g{i}") for i in range(p)],
+        *[(r(a, b) * s0 - e(a, b) * s1 - (r(a) * r(b) * t0 - (r(a) * e(b) + r(b) * e(a)) * t1 + e(a) * e(b) * t2))
+          .alias(f"h{a}_{b}") for a, b in pairs])
+    names = [*(f"g{i}" for i in range(p)), *(f"h{a}_{b}" for a, b in pairs)]
+    sums = few.unionByName(many).groupBy("k").agg(*[F.sum(c).alias(c) for c in names])
+    found = {row["k"]: row for row in sums.collect()}
     gradient = np.array([[found[k][f"g{i}"] for i in range(p)] for k in keys])
     hessian = np.zeros((len(keys), p, p))
     for row, k in enumerate(keys):
@@ -162,15 +210,23 @@ def baseline_hazard(
     return running_totals(jumps, ["k", "g"], "time", {"cumulative": "_h"}).select("k", "g", "time", "d", "cumulative")
 
 
-def survival_at(df: DataFrame, fitted: CoxFit, hazard: DataFrame, horizons: Sequence[float]) -> DataFrame:
-    """S(h | x) of each test row: exp(-H0(last step <= h) * exp(lp))."""
+def survival_at(
+    df: DataFrame, fitted: CoxFit, hazard: DataFrame, horizons: Sequence[float], *, stratum: str | None = None
+) -> DataFrame:
+    """S(h | x) of each test row: exp(-H0(last step <= h) * exp(lp)), H0 of the row's own ``stratum``.
+
+    A hazard with several strata needs the column that names them.
+    """
     last = [F.max_by("cumulative", F.when(F.col("time") <= h, F.col("time"))).alias(f"_h{i}") for i, h in enumerate(horizons)]
-    steps = hazard.groupBy(F.col("k").alias("fold")).agg(*last)
-    scored = oof_risk(df, fitted).join(steps, "fold")
+    steps = hazard.groupBy(F.col("k").alias("fold"), F.col("g").alias("_g")).agg(*last)
+    own = (F.col(stratum).cast("string") if stratum else F.lit("")).alias("_g")
+    if not stratum and not hazard.where("g <> '' OR g IS NULL").isEmpty():
+        raise ValueError("the hazard is stratified: name the stratum column")
+    scored = join_null_safe(oof_risk(df, fitted).select("*", own), steps, ["fold", "_g"])
     return scored.withColumns({
         f"survival_{int(h)}": F.exp(-F.coalesce(F.col(f"_h{i}"), F.lit(0.0)) * F.exp("risk"))
         for i, h in enumerate(horizons)
-    }).drop(*[f"_h{i}" for i in range(len(horizons))])
+    }).drop("_g", *[f"_h{i}" for i in range(len(horizons))])
 
 
 def ph_test(

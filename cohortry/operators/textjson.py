@@ -157,9 +157,10 @@ def parse_response(df: DataFrame, text: str, out: str = "parsed") -> DataFrame:
     cleaned = df.withColumn("_clean", strip_fences(F.col(text)))
     cleaned = cleaned.withColumn("_kind", F.schema_of_variant(F.try_parse_json("_clean")))
     plain = F.col("_kind").isNotNull()
-    direct = cleaned.where(plain).withColumn(out, F.when(F.col("_kind").startswith("OBJECT"), F.col("_clean")))
-    embedded = cleaned.where(~plain).withColumn(out, _first_object("_clean"))
-    return direct.unionByName(embedded).drop("_clean", "_kind")
+    # one scan: the scanner gets NULL for an answer that needs none
+    embedded = cleaned.withColumn("_found", _first_object(F.when(~plain, F.col("_clean"))))
+    direct = F.when(F.col("_kind").startswith("OBJECT"), F.col("_clean"))
+    return embedded.withColumn(out, F.when(plain, direct).otherwise(F.col("_found"))).drop("_clean", "_kind", "_found")
 
 
 TEXT_KEYS = ["program", "activity_level", "representative_genes"]

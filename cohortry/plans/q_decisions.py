@@ -229,11 +229,14 @@ def flat_answers(rows: DataFrame) -> DataFrame:
     })
 
 
-_FLAT = f"{_MARGIN}," + """fl as (select sample_id, event_type, support_score support, resistance resist,
- case when support_score>0.6 then 'response' when support_score>0.3 then 'mixed' else 'unclear' end dominant_side, 'first | '||event_type rationale,
+# Three answer shapes of four hold an object; the fourth has no decision but keeps its usage.
+_FLAT = f"{_MARGIN}," + """fl as (select sample_id, event_type,
+ case when has then case when support_score>0.6 then 'response' when support_score>0.3 then 'mixed' else 'unclear' end end dominant_side,
+ case when has then 'first | '||event_type end rationale,
  cast(sample_id%100 as int) prompt_tokens, cast(sample_id%7 as int) completion_tokens, case when sample_id%10<>0 then cast(trunc(value*10) as int) end total_tokens,
- prediction, confidence, score_margin, cast(prediction='positive' as int) "call", cast(('0x'||substr(md5('t:'||sample_id),1,8))::bigint%2 as int) true_label
- from dec where sample_id%4=0)"""
+ case when has then prediction end prediction, case when has then confidence end confidence, case when has then score_margin end score_margin,
+ case when has then cast(prediction='positive' as int) end "call", cast(('0x'||substr(md5('t:'||sample_id),1,8))::bigint%2 as int) true_label
+ from (select *, sample_id%4<3 has from dec))"""
 _FLAT_COLS = 'sample_id, event_type, dominant_side, rationale, prompt_tokens, completion_tokens, total_tokens, prediction, confidence, score_margin, "call", true_label'
 
 
@@ -245,9 +248,9 @@ def m12(spark, sf):
 _SUMMARY = """count(*) sample_count, cast(sum("call") as bigint) positive_predictions, %s
  round(avg(("call"=true_label)::int),4) accuracy,
  round(coalesce(sum(("call"=1 and true_label=1)::int)*1.0/nullif(sum("call"),0),0),4) as precision,
- round(coalesce(sum(("call"=1 and true_label=1)::int)*1.0/nullif(sum(true_label),0),0),4) recall,
- round(coalesce(sum(("call"=0 and true_label=0)::int)*1.0/nullif(sum(1-true_label),0),0),4) specificity,
- round(coalesce(2.0*sum(("call"=1 and true_label=1)::int)/nullif(sum("call")+sum(true_label),0),0),4) f1,
+ round(coalesce(sum(("call"=1 and true_label=1)::int)*1.0/nullif(sum(true_label) filter ("call" is not null),0),0),4) recall,
+ round(coalesce(sum(("call"=0 and true_label=0)::int)*1.0/nullif(sum(1-true_label) filter ("call" is not null),0),0),4) specificity,
+ round(coalesce(2.0*sum(("call"=1 and true_label=1)::int)/nullif(sum("call")+sum(true_label) filter ("call" is not null),0),0),4) f1,
  round(avg(confidence),4) mean_confidence, round(avg(total_tokens),2) mean_total_tokens"""
 _RATES = ["accuracy", "precision", "recall", "specificity", "f1", "mean_confidence"]
 

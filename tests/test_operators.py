@@ -229,6 +229,48 @@ def test_cox_matches_direct_newton(spark):
     assert curve.survival_5.between(0, 1).all()
 
 
+def test_efron_sums_equal_the_terms(spark):
+    rows = [(d, tied * ratio, tied) for d in (1, 2, 7, 40, 5000) for ratio in (1.0, 1.3, 20.0, 900.0) for tied in (0.4, 3.0, 2e4)]
+    df = spark.createDataFrame(rows, "d long, r double, e double")
+    for row in df.withColumns(cx.efron_sums(F.col("d"), F.col("r"), F.col("e"))).collect():
+        s = np.arange(row.d) / row.d
+        v = row.r - s * row.e
+        scale = row.d * np.array([1, 1, 1, 1, 1]) / np.array([row.r, row.r, row.r**2, row.r**2, row.r**2])
+        want = np.array([(1 / v).sum(), (s / v).sum(), (v**-2.0).sum(), (s * v**-2.0).sum(), (s * s * v**-2.0).sum()])
+        got = np.array([row._s0, row._s1, row._t0, row._t1, row._t2])
+        assert (np.abs(got - want) <= 1e-7 * np.maximum(want, scale)).all(), row
+
+
+def test_cox_with_closed_tie_sums_and_separable_data(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    n = 120
+    x = rng.normal(size=(n, 2))
+    t = np.ceil(rng.exponential(np.exp(-x @ [0.8, -0.5])) * 2)  # many ties
+    e = rng.integers(0, 2, n)
+    df = spark.createDataFrame(pd.DataFrame({"k": 0, "duration": t, "event": e, "a": x[:, 0], "b": x[:, 1]}))
+    want = efron(x, t, e)
+    monkeypatch.setattr(cx, "TIED_ROWS", 1)
+    assert cx.fit(df, ["a", "b"]).beta[0] == pytest.approx(want, abs=1e-6)
+    apart = spark.createDataFrame([(0, float(i), 1, float(-i)) for i in range(1, 9)], "k int, duration double, event int, a double")
+    with pytest.raises(ValueError, match="Cox"):
+        cx.fit(apart, ["a"])
+
+
+def test_survival_takes_the_hazard_of_its_stratum(spark):
+    rows = [("s" if i % 2 else "t", float(i % 7 + 1) * (3 if i % 2 else 1), 1, i % 5 - 2.0, i % 3 + 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "stratum string, duration double, event int, a double, fold int")
+    rows = cx.training_rows(df, [1, 2, 3])
+    fitted = cx.fit(rows, ["a"], stratum="stratum")
+    hazard = cx.baseline_hazard(rows, fitted, stratum="stratum")
+    with pytest.raises(ValueError):
+        cx.survival_at(df, fitted, hazard, [4.0])
+    got = cx.survival_at(df, fitted, hazard, [4.0], stratum="stratum").toPandas()
+    steps = hazard.toPandas()
+    for r in got.itertuples():
+        h = steps[(steps.k == r.fold) & (steps.g == r.stratum) & (steps.time <= 4)].cumulative
+        assert r.survival_4 == pytest.approx(np.exp(-(h.max() if len(h) else 0.0) * np.exp(r.risk)))
+
+
 def test_calibration_matches_direct_newton(spark):
     rng = np.random.default_rng(4)
     n = 300
