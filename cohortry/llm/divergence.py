@@ -38,7 +38,7 @@ TOP_TERMS = 50
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 27
 _END = b"\x00"
 #: Text of one step inside a task.
-_HELD_BYTES = 12 << 20
+_HELD_BYTES = 6 << 20
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
