@@ -12,9 +12,12 @@ by array code inside tasks, many groups per task.  Beyond that, ``pairs`` and
 ``tied`` come from :func:`ordered.ordered_pair_sum` and ``concordant`` from a
 chunked inversion count: time and risk are both cut into chunks, and a pair is
 in exactly one of three cases: same time chunk; other time chunk but same risk
-chunk; both different.  The first two are solved inside bounded chunks, the
-third on the bounded grid of chunk cells.  No task sees a whole large group and
-no pair is materialised.
+chunk; both different.  The first two are solved inside parts by array code, the
+third by :func:`across`, a dominance count by binary levels of the chunk number
+that stays in windows.  A part of more than ``TASK_ROWS`` points is cut again at
+its own quantiles until none is left, so an array frame never holds more than
+two times ``TASK_ROWS`` points and a batch, whatever time or risk is hot.  No
+pair is materialised.  Sums are doubles: counts are exact up to 2^53 pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.lineage import settle
 from . import ordered
@@ -73,12 +76,8 @@ def _strictly_later(group: np.ndarray, x: np.ndarray, w: np.ndarray) -> np.ndarr
     return out
 
 
-def _time_position(pdf: pd.DataFrame, tied_censoring: bool) -> np.ndarray:
-    """Time as an order position; under the tied rule events precede censorings."""
-    x = pdf["_x"].to_numpy(float)
-    if not tied_censoring:
-        return x
-    late = 1 - pdf["_ev"].to_numpy(int)
+def _position(x: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """Dense order position of (x, late); under the tied rule events precede censorings."""
     order = np.lexsort((late, x))
     step = np.r_[0, (np.diff(x[order]) != 0) | (np.diff(late[order]) != 0)]
     position = np.empty(len(x))
@@ -93,7 +92,8 @@ def _group_sums(pdf: pd.DataFrame, keys: list[str], columns: list[str]) -> pd.Da
 def _count_whole(keys: list[str], tied_censoring: bool):
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         group = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
-        x = _time_position(pdf, tied_censoring)
+        late = 1 - pdf["_ev"].to_numpy(int) if tied_censoring else np.zeros(len(pdf), int)
+        x = _position(pdf["_x"].to_numpy(float), late)
         y, w = pdf["_r"].to_numpy(float), pdf["_w"].to_numpy(float)
         e = w * pdf["_ev"].to_numpy(float)
         same_risk = pd.DataFrame({"g": group, "y": y}).groupby(["g", "y"]).ngroup().to_numpy()
@@ -107,13 +107,34 @@ def _count_whole(keys: list[str], tied_censoring: bool):
     return count
 
 
-def _count_chunks(keys: list[str], tied_censoring: bool):
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        group = pdf.groupby([*keys, "_case", "_part"], sort=False, dropna=False).ngroup().to_numpy()
-        x = _time_position(pdf, tied_censoring)
+def _count_parts(keys: list[str], limit: int):
+    """Array count of whole parts that arrive one after the other, a bounded number of rows at a time."""
+    part_key = [*keys, "_case", "_part"]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        group = pdf.groupby(part_key, sort=False, dropna=False).ngroup().to_numpy()
+        x = _position(pdf["_x"].to_numpy(float), pdf["_late"].to_numpy(int))
         lower = later_and_lower(group, x, pdf["_y"].to_numpy(float), pdf["_w"].to_numpy(float))
         return _group_sums(pdf.assign(concordant=pdf["_e"].to_numpy(float) * lower), keys, ["concordant"])
 
+    def count(batches):
+        held, rows, full = [], 0, limit
+        for pdf in batches:
+            held.append(pdf)
+            rows += len(pdf)
+            if rows < full:
+                continue
+            joined = pd.concat(held, ignore_index=True)
+            group = joined.groupby(part_key, sort=False, dropna=False).ngroup().to_numpy()
+            open_part = group == group[-1]  # its rows may go on in the next batch
+            if not open_part.all():
+                yield one(joined[~open_part])
+            held = [joined[open_part]]
+            rows = int(open_part.sum())
+            full = rows + limit
+        if rows:
+            yield one(pd.concat(held, ignore_index=True))
+
     return count
 
 
@@ -209,42 +230,91 @@ def _pairs_in_time(points: DataFrame, keys: list[str], tied_censoring: bool, out
     return result.unionByName(same_time).groupBy(*keys).agg(F.sum(out).alias(out))
 
 
+def across(df: DataFrame, keys: list[str], x: str, y: str, bits: int, lowest: Column | None = None) -> DataFrame:
+    """Per ``keys``: the sum of _e(a) * _w(b) over rows with x(a) < x(b) and y(b) < y(a), x below 2^bits.
+
+    Two different numbers part at exactly one binary level: equal above it, 0 and 1 on it.  So each level of each
+    block is one sum along y of the right half's weight below the left half's rows.  ``lowest`` is the first level
+    on which a row can part from another.
+    """
+    start = F.lit(0) if lowest is None else lowest
+    level = df.select(*keys, x, y, "_e", "_w", F.explode(F.sequence(start, F.lit(bits - 1))).alias("_level"))
+    right = F.expr(f"shiftright({x}, _level) & 1") == 1
+    sides = level.groupBy(*keys, "_level", F.expr(f"shiftright({x}, _level + 1)").alias("_block"), y).agg(
+        F.sum(F.when(~right, F.col("_e")).otherwise(0.0)).alias("_left"),
+        F.sum(F.when(right, F.col("_w")).otherwise(0.0)).alias("_right"),
+    )
+    found = ordered_pair_sum(sides, [*keys, "_level", "_block"], y, "_right", "_left", "concordant")
+    return found.groupBy(*keys).agg(F.sum("concordant").alias("concordant"))
+
+
 def _inversions(points: DataFrame, keys: list[str], tied_censoring: bool, chunks: int) -> DataFrame:
     t_cuts, r_cuts = cut_points(points, ["_t", "_r"], chunks)
     cut = add_chunk(add_chunk(points, "_t", t_cuts, "_bt"), "_r", r_cuts, "_br")
-    # Single-value (odd) chunks are split further along the other axis.
-    span = 2 * chunks + 2
-    late_side = (1 - F.col("_ev")) * span if tied_censoring else F.lit(0)
-    cx = F.col("_bt").cast("bigint") * (2 * span) + F.when(
-        F.col("_bt") % 2 == 1, late_side + F.col("_br")
-    ).otherwise(0)
-    cy = F.col("_br").cast("bigint") * (2 * span) + F.when(
-        F.col("_br") % 2 == 1, F.col("_bt")
-    ).otherwise(0)
-    cut = cut.withColumn("_cx", cx).withColumn("_cy", cy)
-
-    def instance(frame: DataFrame, case: int, part, x, ev, y) -> DataFrame:
-        return frame.select(
-            *keys,
-            F.lit(case).alias("_case"),
-            part.cast("bigint").alias("_part"),
-            x.cast("double").alias("_x"),
-            ev.alias("_ev"),
-            y.cast("double").alias("_y"),
-            "_e",
-            "_w",
+    late = (1 - F.col("_ev")) if tied_censoring else F.lit(0)
+    # Single-value (odd) chunks are split further along the other axis, in the low bits.
+    chunk_bits = (2 * chunks + 2).bit_length()
+    half, low = 1 << chunk_bits, chunk_bits + 1
+    single_t, single_r = F.col("_bt") % 2 == 1, F.col("_br") % 2 == 1
+    cx = F.col("_bt").cast("bigint") * (1 << low) + F.when(single_t, late * half + F.col("_br")).otherwise(0)
+    cy = F.col("_br").cast("bigint") * (1 << low) + F.when(single_r, F.col("_bt")).otherwise(0)
+    cut = cut.withColumns({"_cx": cx.cast("bigint"), "_cy": cy.cast("bigint"), "_late": late})
+
+    def instance(case: int, part: str, x: str, late_side: Column) -> DataFrame:
+        return cut.select(
+            *keys, F.lit(case).alias("_case"), F.col(part).cast("string").alias("_part"),
+            F.col(x).cast("double").alias("_x"), late_side.cast("int").alias("_late"), F.col("_r").alias("_y"), "_e", "_w",
         )
 
-    col, none = F.col, F.lit(0)
-    same_time_chunk = instance(cut, 0, col("_cx"), col("_t"), col("_ev"), col("_r"))
-    same_risk_chunk = instance(cut, 1, col("_cy"), col("_cx"), none, col("_r"))
-    cells = cut.groupBy(*keys, "_cx", "_cy").agg(F.sum("_e").alias("_e"), F.sum("_w").alias("_w"))
-    grid = instance(cells, 2, none, col("_cx"), none, col("_cy"))
-    work = same_time_chunk.unionByName(same_risk_chunk).unionByName(grid)
-    work = work.withColumn(
-        "_bucket", F.pmod(F.xxhash64(*keys, "_case", "_part"), F.lit(_buckets(points)))
-    )
-    counted = work.groupBy("_bucket").applyInPandas(
-        _count_chunks(keys, tied_censoring), schema=f"{_key_schema(points, keys)}, concordant double"
+    parts = instance(0, "_cx", "_t", F.col("_late")).unionByName(instance(1, "_cy", "_cx", F.lit(0)))
+    cells = cut.groupBy(*keys, "_cx", "_cy").agg(
+        F.sum("_e").alias("_e"), F.sum("_w").alias("_w"), F.min(F.when(single_t, 0).otherwise(low)).alias("_low")
     )
+    grid = across(cells, keys, "_cx", "_cy", chunk_bits + low, F.col("_low"))
+    counted = grid.unionByName(_inside_parts(parts, keys))
     return counted.groupBy(*keys).agg(F.sum("concordant").alias("concordant"))
+
+
+#: Cut points of a part that is too large; its chunk numbers have six bits.
+PART_CUTS = 15
+
+
+def _inside_parts(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Inversions inside parts; a part of more than ``TASK_ROWS`` rows is cut again, as often as it takes."""
+    limit = ordered.TASK_ROWS
+    part_key = [*keys, "_case", "_part"]
+    found = []
+    while True:
+        large = settle(parts.groupBy(*part_key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit))
+        if large.isEmpty():
+            break
+        probabilities = [(i + 1) / (PART_CUTS + 1) for i in range(PART_CUTS)]
+        marked = join_null_safe(parts, large.withColumn("_large", F.lit(True)).drop("_n"), part_key, "left")
+        marked = settle(marked)
+        over = marked.where("_large").drop("_large")
+        cuts = over.groupBy(*part_key).agg(
+            F.array_distinct(F.percentile_approx("_x", probabilities, F.lit(20 * PART_CUTS))).alias("_cuts")
+        )
+        place = F.size(F.filter("_cuts", lambda c: c <= F.col("_x")))
+        at_cut = F.array_contains("_cuts", F.col("_x"))
+        chunk = F.when(at_cut, 2 * (2 * place - 1) + F.col("_late")).otherwise(4 * place).cast("bigint")
+        placed = settle(join_null_safe(over, cuts, part_key).withColumn("_chunk_x", chunk).drop("_cuts"))
+        found.append(across(placed, part_key, "_chunk_x", "_y", 6).select(*keys, "concordant"))
+        # a chunk of one value and side holds no pair; the ranges between the cuts are parts of their own
+        rest = placed.where("_chunk_x % 4 = 0").withColumn("_part", F.concat_ws("/", "_part", "_chunk_x"))
+        small = marked.where("_large IS NULL").drop("_large")
+        found.append(_count_small(small, keys, limit))
+        parts = rest.drop("_chunk_x")
+    found.append(_count_small(parts, keys, limit))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _count_small(parts: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    part_key = [*keys, "_case", "_part"]
+    arranged = parts.repartition(*part_key).sortWithinPartitions(*part_key)
+    return arranged.mapInPandas(
+        _count_parts(keys, limit), schema=f"{_key_schema(parts, keys)}, concordant double"
+    )
