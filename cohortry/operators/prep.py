@@ -127,20 +127,36 @@ def pca(vectors: DataFrame, folds: Sequence[int], components: int = 10) -> DataF
     )
 
 
-def pca_scores(vectors: DataFrame, fitted: DataFrame, unit: str = "unit_id") -> DataFrame:
-    """(unit, fold, pcs) of the test rows; the fitted axes are K * components rows."""
-    axes = fitted.groupBy(F.col("k").alias("fold")).agg(
+#: Numbers in the axes of all folds up to which they are broadcast (16 MB).
+BROADCAST_NUMBERS = 2_000_000
+
+
+def project(rows: DataFrame, fitted: DataFrame, key: str, width: int | None = None) -> DataFrame:
+    """``rows`` with ``pcs``, their scores on the axes of the fold that ``key`` names.
+
+    The axes are one row per fold; a fold without axes gives NULL.  With the vectors' ``width`` known they are broadcast while small, so that the
+    rows are not shuffled on a handful of fold values.
+    """
+    axes = fitted.groupBy(F.col("k").alias("_k")).agg(
         F.array_sort(F.collect_list(F.struct("component", "loadings"))).alias("_axes"),
         F.first("mean").alias("_mean"), F.first("scale").alias("_scale"),
     )
-    joined = vectors.join(axes, "fold")
+    if width is not None and fitted.count() * width <= BROADCAST_NUMBERS:
+        axes = F.broadcast(axes)
+    joined = rows.join(axes, F.col(key) == F.col("_k"), "left")
     z = F.zip_with(
         F.zip_with("features", "_mean", lambda x, m: x - m), "_scale", lambda x, s: x / s
     )
     dot = lambda a: F.aggregate(
         F.zip_with(F.col("_z"), a["loadings"], lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x
     )
-    return joined.withColumn("_z", z).select(unit, "fold", F.transform("_axes", dot).alias("pcs"))
+    scored = joined.withColumn("_z", z).withColumn("pcs", F.transform("_axes", dot))
+    return scored.drop("_k", "_axes", "_mean", "_scale", "_z")
+
+
+def pca_scores(vectors: DataFrame, fitted: DataFrame, unit: str = "unit_id") -> DataFrame:
+    """(unit, fold, pcs) of the test rows; the fitted axes are K * components rows."""
+    return project(vectors, fitted, "fold").select(unit, "fold", "pcs")
 
 
 # -------------------------------------------------------------- categories

@@ -324,6 +324,13 @@ def f18(spark, sf):
     return cx.fit(rows, COVARIATES).frame(spark)
 
 
+@query("f19_cox_pca_risk")
+def f19(spark, sf):
+    """Survival baseline: scaled scores, principal axes and ridge Cox, all of the other folds."""
+    rows = survival_rows(spark, sf).withColumn("features", F.array(*COVARIATES))
+    return cx.pca_oof_risk(rows, FOLDS, penalizer=0.1)
+
+
 @query("h19_ph_test")
 def h19(spark, sf):
     rows = survival_rows(spark, sf).withColumn("k", F.lit(0))

@@ -191,7 +191,7 @@ def test_pca_matches_numpy(spark):
     assert np.allclose(np.abs(got), np.abs(want), atol=1e-6)
 
 
-def efron(x, t, e, steps=30):
+def efron(x, t, e, penalizer=0.0, steps=30):
     beta = np.zeros(x.shape[1])
     for _ in range(steps):
         w = np.exp(x @ beta)
@@ -205,7 +205,8 @@ def efron(x, t, e, steps=30):
                 m = (ww[:, None] * x).sum(0) / ww.sum()
                 g -= m
                 h += (ww[:, None, None] * x[:, :, None] * x[:, None, :]).sum(0) / ww.sum() - np.outer(m, m)
-        beta = beta + np.linalg.solve(h, g)
+        ridge = len(x) * penalizer
+        beta = beta + np.linalg.solve(h + ridge * np.eye(len(beta)), g - ridge * beta)
     return beta
 
 
@@ -238,6 +239,7 @@ def test_efron_sums_equal_the_terms(spark):
         scale = row.d * np.array([1, 1, 1, 1, 1]) / np.array([row.r, row.r, row.r**2, row.r**2, row.r**2])
         want = np.array([(1 / v).sum(), (s / v).sum(), (v**-2.0).sum(), (s * v**-2.0).sum(), (s * s * v**-2.0).sum()])
         got = np.array([row._s0, row._s1, row._t0, row._t1, row._t2])
+        assert abs(row._log - np.log(v).sum()) <= 1e-7 * max(1.0, np.abs(np.log(v)).sum())
         assert (np.abs(got - want) <= 1e-7 * np.maximum(want, scale)).all(), row
 
 
@@ -256,6 +258,70 @@ def test_cox_with_closed_tie_sums_and_separable_data(spark, monkeypatch):
         cx.fit(apart, ["a"])
 
 
+def test_cox_halves_a_step_that_overshoots(spark):
+    """One far covariate value: the full Newton step lowers the likelihood or overflows."""
+    rng = np.random.default_rng(3)
+    n = 60
+    x = rng.normal(size=n)
+    x[:3] = [40.0, 60.0, -50.0]
+    t = np.ceil(rng.exponential(np.exp(-np.clip(x, -3, 3) * 1.5)) * 1000) + np.arange(n) / n
+    df = spark.createDataFrame(pd.DataFrame({"k": 0, "duration": t, "event": 1, "a": x}))
+    fitted = cx.fit(df, ["a"])
+
+    def likelihood(b):
+        eta = b * x
+        return sum(eta[i] - np.logaddexp.reduce(eta[t >= t[i]]) for i in range(n))
+
+    assert len(set(t)) == n
+    best = likelihood(fitted.beta[0, 0])
+    assert all(best >= likelihood(fitted.beta[0, 0] + d) for d in (-0.5, -1e-3, 1e-3, 0.5))
+
+
+def test_search_accepts_only_steps_that_raise_the_likelihood():
+    """-log cosh has Newton steps that overshoot from far away; full steps diverge from 2."""
+    search = cx._Search([0, 1], 1)
+    search.trial = np.array([[2.0], [0.3]])
+    seen = []
+    for _ in range(60):
+        b = search.trial[:, 0].copy()
+        seen.append(search.halvings.max())
+        search.judge(-np.log(np.cosh(b)), -np.tanh(b)[:, None], (1 / np.cosh(b) ** 2)[:, None, None])
+        if search.largest_move() < 1e-9:
+            break
+    assert max(seen) > 0 and np.abs(search.trial).max() < 1e-6
+
+
+def ridge_pca_risk(x, t, e, test, components, penalizer):
+    mean, sd = x.mean(0), x.std(0)
+    sd = np.where(sd <= 1e-12, 1.0, sd)
+    z = (x - mean) / sd
+    axes = np.linalg.svd(z, full_matrices=False)[2][:components].T
+    pcs = z @ axes
+    scale = pcs.std(0, ddof=1)
+    beta = efron(pcs / scale, t, e, penalizer) / scale
+    return (test - mean) / sd @ axes @ beta
+
+
+def test_ridge_survival_baseline_equals_fold_by_fold(spark):
+    rng = np.random.default_rng(21)
+    n = 150
+    x = rng.normal(size=(n, 13)) @ rng.normal(size=(13, 13)) * 3 + 5
+    x[:, 4] = 7.0  # a constant feature
+    t = np.ceil(rng.exponential(np.exp(-(x[:, 0] - 5) / 9)) * 8)
+    e, fold = rng.integers(0, 2, n), np.arange(n) % 3 + 1
+    df = spark.createDataFrame(pd.DataFrame({
+        "unit_id": np.arange(n).astype(str), "fold": fold, "duration": t, "event": e, "features": x.tolist(), "pcs": 1, "k": 2,
+    }))
+    got = cx.pca_oof_risk(df, [1, 2, 3], components=4, penalizer=0.1).toPandas().astype({"unit_id": int}).set_index("unit_id").sort_index()
+    for k in (1, 2, 3):
+        train = fold != k
+        want = ridge_pca_risk(x[train], t[train], e[train], x[~train], 4, 0.1)
+        assert got.risk.to_numpy()[~train] == pytest.approx(want, abs=1e-6)
+    with pytest.raises(ValueError, match="survival rows"):
+        cx.pca_oof_risk(df.withColumn("event", F.lit(None).cast("int")), [1, 2, 3])
+    assert cx.pca_oof_risk(df.withColumn("features", F.array().cast("array<double>")), [1, 2, 3]).where("risk <> 0").isEmpty()
+
+
 def test_survival_takes_the_hazard_of_its_stratum(spark):
     rows = [("s" if i % 2 else "t", float(i % 7 + 1) * (3 if i % 2 else 1), 1, i % 5 - 2.0, i % 3 + 1) for i in range(40)]
     df = spark.createDataFrame(rows, "stratum string, duration double, event int, a double, fold int")
