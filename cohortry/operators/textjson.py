@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.fixed_values import FORBIDDEN_FIELDS
+from ..functions.lineage import settle
 
 UNSIGNED = r"\d+(?:\.\d+)?"
 SIGNED = r"-?\d+(?:\.\d+)?"
@@ -167,45 +168,79 @@ TEXT_KEYS = ["program", "activity_level", "representative_genes"]
 BLOCKS = ["evidence_balance", "ecology_snapshot", "calibration_snapshot", "dominant_programs"]
 
 
-def flatten_numeric(df: DataFrame, unit: str, payload: str, depth: int = 4) -> DataFrame:
-    """(unit, feature, value): numeric and boolean leaves of the feature blocks.
+#: Levels opened in one job before the rest is looked at.
+LEVELS = 4
+
+
+def flatten_numeric(df: DataFrame, unit: str, payload: str, *, require: bool = False) -> DataFrame:
+    """(unit, feature, value): numeric and boolean leaves of the feature blocks, at any depth.
 
     Paths are dotted; list items are keyed by their program; each leaf also gets
-    a ``.__present`` indicator.  A forbidden field inside a block is an error.
+    a ``.__present`` indicator.  Where two leaves have one path, the later one
+    counts: keys in order, list items as listed, blocks as named.  ``unit`` names one payload.
+    A forbidden field inside a block or a number that is not finite is an error,
+    with ``require`` also a payload without any leaf.
     """
-    spark = df.sparkSession
     parsed = df.select(unit, F.parse_json(payload).alias("_p"))
     blocks = F.array(*[
-        F.struct(F.lit(b).alias("path"), F.try_variant_get("_p", f"$.{b}", "variant").alias("v")) for b in BLOCKS
+        F.struct(F.lit(b).alias("path"), F.try_variant_get("_p", f"$.{b}", "variant").alias("v"), _place(F.lit(i), F.lit("")).alias("at"))
+        for i, b in enumerate(BLOCKS)
     ])
-    nodes = parsed.select(unit, F.explode(blocks).alias("_b")).select(unit, "_b.path", "_b.v").where("v IS NOT NULL")
-    # One linear chain: containers are replaced by their entries, leaves are carried along.
-    for _ in range(depth):
-        entries = nodes.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()))
-        leaf, in_object = F.col("value").isNull(), F.col("key").isNotNull()
-        program = F.try_variant_get("value", "$.program", "string")
-        checked = F.when(
-            F.col("key").isin(FORBIDDEN_FIELDS),
-            F.raise_error(F.concat(F.lit("forbidden field in feature block: "), F.col("key"))),
-        ).otherwise(F.concat("path", F.lit("."), F.col("key")))
-        path = (
-            F.when(leaf, F.col("path")).when(in_object, checked)
-            .otherwise(F.concat("path", F.lit("["), program, F.lit("]")))
-        )
-        keep = leaf | F.when(in_object, ~F.col("key").isin(TEXT_KEYS)).otherwise(program.isNotNull())
-        nodes = entries.where(keep).select(
-            unit, path.alias("path"), F.when(leaf, F.col("v")).otherwise(F.col("value")).alias("v")
-        )
-    kind = F.schema_of_variant("v")
-    value = F.when(
-        kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get("v", "$", "double")
-    ).when(kind == "BOOLEAN", F.try_variant_get("v", "$", "boolean").cast("int").cast("double"))
-    found = nodes.select(unit, "path", value.alias("value")).where("value IS NOT NULL")
+    nodes = parsed.select(unit, F.explode(blocks).alias("_b")).select(unit, "_b.path", "_b.v", "_b.at").where("v IS NOT NULL")
+    found = None
+    while True:
+        for _ in range(LEVELS):
+            nodes = _open_containers(nodes, unit)
+        nodes = settle(nodes.withColumn("kind", F.schema_of_variant("v")))
+        inner = F.col("kind").rlike("^(OBJECT|ARRAY)")
+        leaves = nodes.where(~inner)
+        found = leaves if found is None else found.unionByName(leaves)
+        nodes = nodes.where(inner).drop("kind")
+        if nodes.isEmpty():
+            break
+    number = F.when(F.col("kind").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get("v", "$", "double"))
+    number = number.when(F.col("kind") == "BOOLEAN", F.try_variant_get("v", "$", "boolean").cast("int").cast("double"))
+    infinite = F.isnan("value") | (F.abs("value") == float("inf"))
+    finite = F.when(infinite, F.raise_error(F.concat(F.lit("number that is not finite: "), "path"))).otherwise(F.col("value"))
+    values = found.select(unit, "path", "at", number.alias("value")).where("value IS NOT NULL")
     both = F.array(
-        F.struct(F.col("path").alias("feature"), F.col("value").alias("value")),
+        F.struct(F.col("path").alias("feature"), finite.alias("value")),
         F.struct(F.concat("path", F.lit(".__present")).alias("feature"), F.lit(1.0).alias("value")),
     )
-    return found.select(unit, F.explode(both).alias("_f")).select(unit, "_f.feature", "_f.value")
+    out = values.select(unit, "at", F.explode(both).alias("_f")).groupBy(unit, F.col("_f.feature").alias("feature")).agg(
+        F.max_by("_f.value", "at").alias("value")
+    )
+    if require and not df.join(out, unit, "left_anti").isEmpty():
+        raise ValueError("a payload holds no numeric feature")
+    return out
+
+
+def _place(position: Column, key: Column) -> Column:
+    return F.array(F.struct(position.cast("int").alias("pos"), key.alias("key")))
+
+
+def _open_containers(nodes: DataFrame, unit: str) -> DataFrame:
+    """Containers are replaced by their entries, leaves are carried along."""
+    entries = nodes.lateralJoin(nodes.sparkSession.tvf.variant_explode_outer(F.col("v").outer()))
+    leaf, in_object = F.col("value").isNull(), F.col("key").isNotNull()
+    program = F.try_variant_get("value", "$.program", "string")
+    checked = F.when(
+        F.col("key").isin(FORBIDDEN_FIELDS),
+        F.raise_error(F.concat(F.lit("forbidden field in feature block: "), F.col("key"))),
+    ).otherwise(F.concat("path", F.lit("."), F.col("key")))
+    path = (
+        F.when(leaf, F.col("path")).when(in_object, checked)
+        .otherwise(F.concat("path", F.lit("["), program, F.lit("]")))
+    )
+    at = F.when(leaf, F.col("at")).otherwise(
+        F.concat("at", _place(F.when(in_object, 0).otherwise(F.col("pos")), F.coalesce("key", F.lit(""))))
+    )
+    # an empty container has no entries and is no leaf
+    empty = leaf & F.schema_of_variant(F.when(leaf, F.col("v"))).rlike("^(OBJECT|ARRAY)")
+    keep = F.when(leaf, ~empty).when(in_object, ~F.col("key").isin(TEXT_KEYS)).otherwise(program.isNotNull())
+    return entries.where(keep).select(
+        unit, path.alias("path"), F.when(leaf, F.col("v")).otherwise(F.col("value")).alias("v"), at.alias("at")
+    )
 
 
 def request_audit(df: DataFrame, unit: str, payload: str) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from ..functions.lineage import settle
+from ..operators.ordered import join_null_safe
 
 
 def publish_new(df: DataFrame, path: str, fmt: str = "parquet") -> bool:
@@ -19,18 +22,56 @@ def publish_new(df: DataFrame, path: str, fmt: str = "parquet") -> bool:
     return True
 
 
-def ordered_digest(df: DataFrame, keys: Sequence[str], position: str, value: Column, limit: int = 1_000_000) -> DataFrame:
-    """SHA-256 of newline-joined values in order, per key.
+def ordered_digest(df: DataFrame, keys: Sequence[str], position: str, value: Column, chunk_rows: int = 100_000) -> DataFrame:
+    """SHA-256 of newline-joined values in order, per key: ``digest`` and row count ``n``.
 
-    The digest needs its whole group in one place, so a group over ``limit``
-    rows is refused instead of collected.
+    A group of up to ``chunk_rows`` rows has the plain digest.  A larger one has a digest tree: its ordered rows are
+    cut into chunks of that many, and the chunks' plain digests are the values of the next level, until one chunk is
+    left.  No task holds more than one chunk of a group.  Rows of one position are ordered by value, NULLs first.
     """
-    sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    if sized.where(F.col("_n") > limit).limit(1).count():
-        raise ValueError(f"a digest group holds more than {limit} rows; choose finer keys")
-    rows = F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), value.cast("string").alias("v"))))
-    joined = F.array_join(F.transform(rows, lambda x: x["v"]), "\n")
-    return df.groupBy(*keys).agg(F.sha2(joined, 256).alias("digest"), F.count(F.lit(1)).alias("n"))
+    keys = list(keys)
+    rows = df.select(*keys, F.col(position).alias("_p"), value.cast("string").alias("_v"))
+    sized = settle(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > chunk_rows))
+    total = sized.agg(F.sum("_n")).first()[0]
+    if not total:
+        return _plain_digest(rows, keys)
+    small = join_null_safe(rows, sized, keys, "left").where("_n IS NULL").drop("_n")
+    large = join_null_safe(rows, sized, keys).withColumn("_of", F.expr(f"(_n + {chunk_rows - 1}) div {chunk_rows}"))
+    chunks = _numbered(large.drop("_n"), keys, -(-total // chunk_rows))
+    # _of counts the chunks of the row's group on this level, so each group ends on a level of its own
+    part = [*keys, "_chunk", "_of"]
+    level = _plain_digest(chunks.withColumn("_chunk", F.expr(f"_rank div {chunk_rows}")), part)
+    out = _plain_digest(small, keys)
+    while True:
+        level = settle(level)
+        out = out.unionByName(level.where("_of = 1").select(*keys, "digest", "n"))
+        level = level.where("_of > 1")
+        if level.isEmpty():
+            return out
+        up = level.select(
+            *keys, F.col("_chunk").alias("_p"), F.col("digest").alias("_v"), "n",
+            F.expr(f"_chunk div {chunk_rows}").alias("_chunk"), F.expr(f"(_of + {chunk_rows - 1}) div {chunk_rows}").alias("_of"),
+        )
+        level = _plain_digest(up, part, F.sum("n"))
+
+
+def _plain_digest(rows: DataFrame, keys: Sequence[str], count: Column | None = None) -> DataFrame:
+    listed = F.array_sort(F.collect_list(F.struct("_p", "_v")))
+    joined = F.array_join(F.transform(listed, lambda x: x["_v"]), "\n")
+    n = F.count(F.lit(1)) if count is None else count
+    return rows.groupBy(*keys).agg(F.sha2(joined, 256).alias("digest"), n.cast("bigint").alias("n"))
+
+
+def _numbered(rows: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """``_rank`` from 0 per key along (_p, _v): range partitions are numbered inside, their sizes carry the offsets."""
+    order = [*keys, "_p", "_v"]
+    ranged = settle(rows.repartitionByRange(parts, *order).withColumn("_task", F.spark_partition_id()))
+    inside = W.partitionBy(*keys, "_task").orderBy("_p", "_v")
+    before = W.partitionBy(*keys).orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
+    sizes = ranged.groupBy(*keys, "_task").agg(F.count(F.lit(1)).alias("_c"))
+    offsets = sizes.select(*keys, "_task", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_offset"))
+    local = ranged.withColumn("_local", F.row_number().over(inside) - 1)
+    return join_null_safe(local, offsets, [*keys, "_task"]).withColumn("_rank", F.col("_offset") + F.col("_local"))
 
 
 def pending(planned: DataFrame, completed: DataFrame, keys: Sequence[str], digest: str | None = None) -> DataFrame:

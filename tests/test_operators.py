@@ -115,6 +115,33 @@ def test_numeric_summary(spark):
         tj.flatten_numeric(bad, "u", "j").collect()
 
 
+def test_numeric_summary_at_any_depth(spark):
+    def nested(depth, leaf):
+        text = leaf
+        for i in range(depth):
+            text = '{"k%d": %s}' % (i, text) if i % 3 else '[{"program": "p%d", "in": %s}]' % (i, text)
+        return '{"evidence_balance": {"top": %s}}' % text
+
+    def path(depth):
+        return "evidence_balance.top" + "".join(f".k{i}" if i % 3 else f"[p{i}].in" for i in reversed(range(depth)))
+
+    payloads = [(str(d), nested(d, "2.5")) for d in (0, 1, 3, 6, 13)]
+    payloads += [
+        ("empty", '{"evidence_balance": {"a": {}, "b": [], "c": null, "d": [1, 2]}}'), ("none", "{}"),
+        ("last", '{"evidence_balance": {"a": {"b": 1}, "a.b": 2, "z": [{"program": "p", "s": 3}, {"program": "p", "s": 4}]}}'),
+    ]
+    df = spark.createDataFrame(payloads, "u string, j string")
+    got = {(r.u, r.feature): r.value for r in tj.flatten_numeric(df, "u", "j").collect()}
+    want = {(str(d), path(d)): 2.5 for d in (0, 1, 3, 6, 13)}
+    want |= {("last", "evidence_balance.a.b"): 2.0, ("last", "evidence_balance.z[p].s"): 4.0}
+    assert got == {**want, **{(u, f"{f}.__present"): 1.0 for u, f in want}}
+    with pytest.raises(ValueError, match="no numeric feature"):
+        tj.flatten_numeric(df, "u", "j", require=True)
+    for text, message in ((nested(9, '{"fold": 1}'), "forbidden field"), (nested(6, "1e999"), "not finite")):
+        with pytest.raises(Exception, match=message):
+            tj.flatten_numeric(spark.createDataFrame([("s", text)], "u string, j string"), "u", "j").collect()
+
+
 def test_grade_dates(spark):
     df = spark.createDataFrame([("2;3", "1;-4"), ("2", "5;6"), ("1;3", "9"), (None, "4")], "g string, d string")
     got = values(df.select(tj.grade_date_events(F.col("g"), F.col("d")).alias("e")), "e")
@@ -360,8 +387,25 @@ def test_sinks(spark, tmp_path):
     import hashlib
 
     assert sk.ordered_digest(df, ["k"], "p", F.col("v")).first()["digest"] == hashlib.sha256(b"x\ny").hexdigest()
-    with pytest.raises(ValueError):
-        sk.ordered_digest(df, ["k"], "p", F.col("v"), limit=1)
+
+
+def test_digest_tree_of_large_groups(spark):
+    """Groups of every number of levels, rows in any order, repeated positions and a NULL key."""
+    import hashlib
+
+    sizes = {"a": 1, "b": 3, "c": 4, "d": 9, "e": 28, None: 100}
+    rows = [(k, i // 2, f"v{(i * 7) % n}") for k, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, p int, v string").orderBy(F.xxhash64("k", "p", "v"))
+    got = {r["k"]: r for r in sk.ordered_digest(df, ["k"], "p", F.col("v"), chunk_rows=3).collect()}
+
+    def tree(values):
+        hashes = [hashlib.sha256("\n".join(values[i:i + 3]).encode()).hexdigest() for i in range(0, len(values), 3)]
+        return hashes[0] if len(hashes) == 1 else tree(hashes)
+
+    assert set(got) == set(sizes)
+    for k, n in sizes.items():
+        values = [v for _, v in sorted((p, v) for key, p, v in rows if key == k)]
+        assert (got[k]["digest"], got[k]["n"]) == (tree(values), n)
 
 
 def test_motif_tags(spark):
