@@ -35,6 +35,27 @@ def id_remainder_py(doc_id, modulus: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus
 
 
+SHARE_STEPS = 1_000_003
+
+
+def hash_share(value: Column, wanted: int, n: int) -> Column:
+    """Rows of the ``wanted`` of ``n`` whose hash is lowest: a fixed choice at any size, all rows while ``n`` is small.
+
+    The remainder of the hash by ``SHARE_STEPS`` leads, 30 bits of its quotient follow, so shares far below one step
+    still pick their rows.
+    """
+    h = F.xxhash64(value)
+    rest = F.call_function("div", h, F.lit(SHARE_STEPS)).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
+    return F.pmod(h, F.lit(SHARE_STEPS)) + rest < F.lit(SHARE_STEPS * min(1.0, wanted / max(n, 1)))
+
+
+def sampled(rows: list, n: int) -> list:
+    """``rows``, the sample of ``n`` rows; an empty one of a table with rows is an error, not a model of nothing."""
+    if n and not rows:
+        raise ValueError(f"the sample of {n} rows is empty")
+    return rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

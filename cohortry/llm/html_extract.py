@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortry.llm.common import hash_share, sampled
+
 #: The bounded training sample of pages, and the most blocks of a page that is trained on.
 SAMPLE_PAGES, SAMPLE_BLOCKS = 240, 120
 PATH_BINS, WORD_BINS, DENSE = 96, 32, 9
@@ -374,9 +376,8 @@ def _dressed(page: str, other: str, rng: np.random.Generator) -> str:
 def train(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Labeller:
     """Fit on at most about ``sample`` distinct pages, chosen by hash; the same pages give the same labeller."""
     n = pages.count()
-    share = int(1_000_003 * min(1.0, sample / max(n, 1)))
-    rows = pages.filter(F.pmod(F.xxhash64("html"), F.lit(1_000_003)) < share).select("html").distinct().collect()
-    texts = sorted(r.html for r in rows if r.html)
+    rows = pages.filter(hash_share(F.col("html"), sample, n)).select("html").distinct().collect()
+    texts = sorted(r.html for r in sampled(rows, n) if r.html)
     rng = np.random.default_rng(1)
     dressed = [_dressed(t, texts[int(rng.integers(len(texts)))], rng) for t in texts for _ in range(2)]
     got = [b for b in map(blocks_of, texts + dressed) if b]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import words_of
+from cohortry.llm.common import hash_share, sampled, words_of
 from cohortry.llm.quality import Hasher, base_rules
 
 #: Documents in the bounded sample that the scorer is fitted on, and its hash buckets.
@@ -97,8 +97,7 @@ def train(docs: DataFrame, table: np.ndarray, good: float, sample: int = SAMPLE_
     """Weights of the hashed linear scorer (the last one is the bias), from about ``sample`` distinct texts chosen by hash."""
     docs = docs.filter("text IS NOT NULL")
     n = docs.select(F.approx_count_distinct(F.xxhash64("text"))).first()[0]
-    share = int(1_000_003 * min(1.0, sample / max(n, 1)))
-    rows = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share).select("text").distinct()
+    rows = docs.filter(hash_share(F.col("text"), sample, n)).select("text").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(BUCKETS)
@@ -109,7 +108,7 @@ def train(docs: DataFrame, table: np.ndarray, good: float, sample: int = SAMPLE_
                 grams = np.unique(hasher.grams(words)).astype(np.int32) if words else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([grams.tolist()], pa.list_(pa.int32()))], names=["p", "x"])
 
-    got = sorted((r.p, r.x) for r in rows.mapInArrow(run, "p double, x array<int>").collect())
+    got = sorted((r.p, r.x) for r in sampled(rows.mapInArrow(run, "p double, x array<int>").collect(), n))
     w, square = np.zeros(BUCKETS + 1), np.full(BUCKETS + 1, 1e-6)
     if not got:
         return w

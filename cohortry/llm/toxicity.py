@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import small_side, words_of
+from cohortry.llm.common import hash_share, small_side, words_of
 
 #: Bound of the labelled sample that is fitted on, and of the learned lexicon.
 SAMPLE_ROWS = 20_000
@@ -56,7 +56,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
              .agg(F.max("toxic").cast("int").alias("toxic")))
     n = marks.count()
     if n > sample_rows:
-        marks = marks.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_003)) < int(1_000_003 * sample_rows / n))
+        marks = marks.filter(hash_share(F.col("_id"), sample_rows, n))
     marks = small_side(marks, min(n, sample_rows), BROADCAST_IDS)
     return docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_id")).select("text", "toxic")
 

@@ -266,6 +266,25 @@ def test_quality_classifier(spark, docs, nothing):
     assert quality_model.classify(nothing, *fitted, weights).count() == 0
 
 
+def test_hash_share_never_rounds_to_nothing(spark):
+    """The share of a table of 10^10 rows and more still picks its rows; shares are nested; small tables are whole."""
+    from pyspark.sql import functions as F
+
+    ids = spark.range(4_000_000)
+    wanted, sizes = 20_000, (10_000, 2 * 10**4, 10**8, 10**10, 10**11)
+    row = ids.agg(*[F.count_if(common.hash_share(F.col("id"), wanted, n)).alias(f"n{i}") for i, n in enumerate(sizes)],
+                  F.count_if(common.hash_share(F.col("id"), wanted, 10**11) & ~common.hash_share(F.col("id"), wanted, 10**10))
+                  .alias("outside")).first()
+    assert row["n0"] == row["n1"] == 4_000_000 and row["outside"] == 0
+    for i, n in enumerate(sizes[2:], 2):
+        expected = 4_000_000 * wanted / n
+        assert abs(row[f"n{i}"] - expected) <= 5 * math.sqrt(expected) + 1
+    assert row["n3"] > 0  # below one step of the remainder: 8 rows of 4 million
+    with pytest.raises(ValueError, match="empty"):
+        common.sampled([], 5)
+    assert common.sampled([], 0) == []
+
+
 def test_quality_sample_has_each_text_once(spark):
     docs = common.table(spark, SF, "documents").limit(60).select("text").distinct().localCheckpoint()
     one = docs.filter("text IS NOT NULL").orderBy("text").limit(1)
