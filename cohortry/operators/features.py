@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from ..functions import fixed_values as fv
 from ..functions.scalars import cascade, fixed3, safe_ratio
+from .contracts import enforce, key_text
 from .ordered import exact_quantiles, with_average_rank
 from .rankstats import zscore
 
@@ -46,8 +47,21 @@ def triplet_counts(seqs: DataFrame, sample: str = "sample_id", seq: str = "seq")
     )
 
 
-def triplet_frequencies(seqs: DataFrame, sample: str = "sample_id") -> DataFrame:
-    """Counts normalised per sample; every sequence row has equal weight."""
+def without_windows(seqs: DataFrame, sample: str = "sample_id") -> DataFrame:
+    """Violations: samples whose sequences hold no valid window, for :func:`contracts.enforce`."""
+    empty = repertoire_qc(seqs, sample).where("valid_windows = 0")
+    detail = F.concat(F.lit("eligible="), F.col("eligible").cast("string"))
+    return empty.select(F.lit("no_valid_window").alias("rule"), key_text([sample]).alias("key"), detail.alias("detail"))
+
+
+def triplet_frequencies(seqs: DataFrame, sample: str = "sample_id", strict: bool = False) -> DataFrame:
+    """Counts normalised per sample; every sequence row has equal weight.
+
+    A sample without a valid window has no frequencies: it is an error with
+    ``strict`` and has no row otherwise (:func:`repertoire_qc` lists it). It is never filled with zeros.
+    """
+    if strict:
+        enforce(without_windows(seqs, sample))
     counts = triplet_counts(seqs, sample)
     totals = counts.groupBy(sample).agg(F.sum("count").alias("_t"))
     return counts.join(totals, sample).withColumn("frequency", F.col("count") / F.col("_t")).drop("_t")
@@ -65,21 +79,22 @@ def vocabulary(spark: SparkSession) -> DataFrame:
 
 
 def repertoire_qc(seqs: DataFrame, sample: str = "sample_id") -> DataFrame:
-    """Eligible sequences, valid and invalid windows, all from per-sequence sums.
+    """Eligible sequences, valid and invalid windows of every sample, all from per-sequence sums.
 
     A run of k valid letters holds k - 2 valid windows, so the windows are
-    counted without being built.
+    counted without being built.  A sample of short sequences alone has a row of zeros.
     """
     s = F.upper(F.trim(F.col("seq")))
     runs = F.split(F.col("_s"), f"[^{fv.AMINO_ACIDS}]+")
     valid = F.aggregate(runs, F.lit(0), lambda t, r: t + F.greatest(F.lit(0), F.length(r) - 2))
-    rows = seqs.select(sample, s.alias("_s")).where(F.length("_s") > 3).select(
-        sample, valid.alias("_v"), (F.length("_s") - 2).alias("_n")
+    long_enough = F.length("_s") > 3
+    rows = seqs.select(sample, s.alias("_s")).select(
+        sample, long_enough.alias("_l"), valid.alias("_v"), (F.length("_s") - 2).alias("_n")
     )
     return rows.groupBy(sample).agg(
-        F.count(F.lit(1)).alias("eligible"),
-        F.sum("_v").alias("valid_windows"),
-        F.sum(F.col("_n") - F.col("_v")).alias("invalid_windows"),
+        F.count_if("_l").alias("eligible"),
+        F.sum(F.when(F.col("_l"), F.col("_v")).otherwise(0)).alias("valid_windows"),
+        F.sum(F.when(F.col("_l"), F.col("_n") - F.col("_v")).otherwise(0)).alias("invalid_windows"),
     )
 
 

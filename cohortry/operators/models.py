@@ -130,8 +130,8 @@ def duration_regression(df: DataFrame, folds: Sequence[int], unit: str = "unit_i
     return out
 
 
-def fixed_score(df: DataFrame, column: str, model: str, threshold: float = 0.0) -> DataFrame:
-    """A precomputed score used as a model; call = score >= threshold."""
+def fixed_score(df: DataFrame, column: str, model: str | Column, threshold: float = 0.0) -> DataFrame:
+    """A precomputed score used as a model of the given name; call = score >= threshold."""
     return df.withColumns({
         "model": F.lit(model), "score": F.col(column), "call": (F.col(column) >= threshold).cast("int"),
     })

@@ -234,7 +234,24 @@ def hash_row_number(
 def row_number(
     df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str] = (), out: str = "rn"
 ) -> DataFrame:
-    """Row number per ``keys`` along a numeric order, chunked when the input is large."""
-    return running_totals(
-        df.withColumn("_one", F.lit(1).cast("bigint")), keys, order, {out: "_one"}, ties=ties
-    ).drop("_one")
+    """Row number per ``keys`` along (order, ties); NULL first, NaN last, rows equal in both by a hash of the whole row.
+
+    A large input is cut into ranges of (keys, order, ties), numbered inside each, and range sizes carry the
+    offsets.  The ties take part in the cut, so a single value that holds most rows is numbered by many tasks.
+    """
+    keys = list(keys)
+    df = settle(df)
+    along = [order, *ties]
+    rows = df.count()
+    if rows <= TASK_ROWS:
+        return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*along, F.xxhash64(*df.columns))))
+    whole = df.withColumn("_whole", F.xxhash64(*df.columns))
+    along = [*along, "_whole"]
+    cut = settle(whole.repartitionByRange(chunk_count(rows), *keys, *along).withColumn("_range", F.spark_partition_id()))
+    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sizes = cut.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    offsets = sizes.select(*keys, "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    inside = cut.withColumn("_at", F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*along)))
+    return join_null_safe(inside, offsets, [*keys, "_range"]).select(
+        *[F.col(c) for c in df.columns], (F.col("_at") + F.col("_offset")).alias(out)
+    )

@@ -259,17 +259,17 @@ def j06(spark, sf):
 
 
 @query("j07_direct_rank_check", """
-with v as (select stratum, fold, score, count(*) c from predictions where model='base' group by 1,2,3),
-d as (select a.stratum, a.fold, a.score, (sum(case when a.score>b.score then b.c else 0 end)
+with v as (select model, stratum, fold, score, count(*) c from predictions group by 1,2,3,4),
+d as (select a.model, a.stratum, a.fold, a.score, (sum(case when a.score>b.score then b.c else 0 end)
  + 0.5*sum(case when a.score=b.score then b.c else 0 end)) / sum(b.c) p, any_value(a.c) c
- from v a join v b on a.stratum=b.stratum and a.fold=b.fold group by 1,2,3)
-select stratum, fold, cast(sum(c) as bigint) n, round(sum(p*p*c), 6) sum_squares, 0.0::double max_difference
- from d group by 1,2""", ("predictions",))
+ from v a join v b on a.model=b.model and a.stratum=b.stratum and a.fold=b.fold group by 1,2,3,4)
+select model, stratum, fold, cast(sum(c) as bigint) n, round(sum(p*p*c), 6) sum_squares, 0.0::double max_difference
+ from d group by 1,2,3""", ("predictions",))
 def j07(spark, sf):
     """Ranks must not change under a positive affine map per fold."""
-    pred = views.predictions(spark, sf).where("model = 'base'").select("unit_id", "stratum", "fold", "score")
+    pred = views.predictions(spark, sf).select("unit_id", "model", "stratum", "fold", "score")
     moved = pred.withColumn("moved", F.col("score") * (F.col("fold") + 1.7) + (F.col("fold") - 2) * 100)
-    keys = ["stratum", "fold"]
+    keys = ["model", "stratum", "fold"]
     plain = rs.midrank_percentile(moved, keys, "score", "p")
     both = rs.midrank_percentile(plain, keys, "moved", "q")
     return both.groupBy(*keys).agg(

@@ -169,10 +169,10 @@ def c02(spark, sf):
 
 
 @query("c03_semi", """
-select unit_id, group_id, stratum from units where group_id in (select unit_id from alter_v where feature in ('Brand#1','Brand#2'))""",
+select unit_id, group_id, stratum from units where group_id in (select unit_id from alter_v)""",
        ("units", "alter_v"))
 def c03(spark, sf):
-    analysed = views.alter(spark, sf).where(F.col("feature").isin("Brand#1", "Brand#2")).select(F.col("unit_id").alias("group_id"))
+    analysed = views.alter(spark, sf).select(F.col("unit_id").alias("group_id"))
     return rh.restrict(views.units(spark, sf), analysed, ["group_id"]).select("unit_id", "group_id", "stratum")
 
 

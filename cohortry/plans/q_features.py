@@ -45,8 +45,8 @@ def l02(spark, sf):
 
 @query("l03_repertoire_qc", f"""with {_WIN},
 w as (select sample_id, count(*) n, sum(regexp_full_match(triplet, '[{fv.AMINO_ACIDS}]{{3}}')::int) v from win group by 1),
-c as (select sample_id, count(*) eligible from clone group by 1)
-select sample_id, eligible, cast(v as bigint) valid_windows, cast(n-v as bigint) invalid_windows from w join c using (sample_id)""", ("seqs",))
+c as (select sample_id, count(*) filter (length(seq)>3) eligible from seqs group by 1)
+select sample_id, eligible, cast(coalesce(v,0) as bigint) valid_windows, cast(coalesce(n-v,0) as bigint) invalid_windows from c left join w using (sample_id)""", ("seqs",))
 def l03(spark, sf):
     return ft.repertoire_qc(views.seqs(spark, sf))
 

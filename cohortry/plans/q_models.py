@@ -106,13 +106,14 @@ def e08(spark, sf):
     return rounded(pp.log_scaled(customers(spark, sf), "tmb", FOLDS), 6, "median", "value")
 
 
-@query("e09_drop_constant", f"""with {_CUST}, t as (select cu.unit_id, cu.fold, gene feature, case when gene<'C' then 1.0 else value end v from genes join cu using (unit_id) where gene<'CD' or cu.fold=3),
+@query("e09_drop_constant", f"""with {_CUST}, t as (select cu.unit_id, cu.fold, gene feature, case when gene<'C' and cu.fold<>3 then 0.0 else value end v from genes join cu using (unit_id)),
 g as (select distinct feature from t), d as (select cu.fold, g.feature, coalesce(v,0.0) v from cu cross join g left join t on t.unit_id=cu.unit_id and t.feature=g.feature)
 select k, feature from d join ks on fold<>k group by 1,2 having max(v)-min(v)>1e-12""", ("genes",))
 def e09(spark, sf):
     units = customers(spark, sf)
-    long = views.genes(spark, sf).join(units.select("unit_id", "fold"), "unit_id").where("gene < 'CD' OR fold = 3")
-    value = F.when(F.col("gene") < "C", 1.0).otherwise(F.col("value"))
+    long = views.genes(spark, sf).join(units.select("unit_id", "fold"), "unit_id")
+    # genes that vary in fold 3 alone: constant wherever that fold is the test fold
+    value = F.when((F.col("gene") < "C") & (F.col("fold") != 3), 0.0).otherwise(F.col("value"))
     return pp.varying_features(long.select("unit_id", F.col("gene").alias("feature"), value.alias("value")), units, FOLDS)
 
 
@@ -301,10 +302,10 @@ def f15(spark, sf):
     return pp.round_metadata_scores(oof).select("unit_id", "fold", "model", "score", "call")
 
 
-@query("f16_fixed_score_control", "select unit_id, 'Biology-score' model, round(score-100,6) score, cast(score-100>=0 as int) \"call\" from predictions where model='base'", ("predictions",))
+@query("f16_fixed_score_control", "select unit_id, 'Biology-score '||model as model, round(score-100,6) score, cast(score-100>=0 as int) \"call\" from predictions", ("predictions",))
 def f16(spark, sf):
-    base = views.predictions(spark, sf).where("model = 'base'").withColumn("net", F.col("score") - 100)
-    return md.fixed_score(base, "net", "Biology-score").select("unit_id", "model", F.round("score", 6).alias("score"), "call")
+    net = views.predictions(spark, sf).withColumn("net", F.col("score") - 100)
+    return md.fixed_score(net, "net", F.concat(F.lit("Biology-score "), "model")).select("unit_id", "model", F.round("score", 6).alias("score"), "call")
 
 
 @query("f17_fit_audit", f"""

@@ -49,17 +49,14 @@ def ci_round(df: DataFrame) -> DataFrame:
     return rounded(df, 6, "mean", "sd", "ci_low", "ci_high")
 
 
-_BASE = "(select * from predictions where model='base')"
-
-
-@query("i01_boot_cluster", "with " + draw_sql("", "group_id", _BASE, AUDIT) + f""",
-j as (select p.*, rep, w from predictions p join bw using (group_id) where model='base'),
-""" + auc_w("stratum, rep", "j", "a") + ci_sql("stratum", "a", AUDIT, 800, "auroc"), ("predictions",))
+@query("i01_boot_cluster", "with " + draw_sql("", "group_id", "predictions", AUDIT) + f""",
+j as (select model, stratum, outcome, score, rep, w from predictions p join bw using (group_id)),
+""" + auc_w("model, stratum, rep", "j", "a") + ci_sql("model, stratum", "a", AUDIT, 800, "auroc"), ("predictions",))
 def i01(spark, sf):
-    pred = views.predictions(spark, sf).where("model = 'base'")
+    pred = views.predictions(spark, sf)
     blocks = rp.draw_blocks(pred, [], "group_id", AUDIT)
-    draws = rp.one_value(pred, blocks, ["group_id"], rp.RANKING, ["stratum"], AUDIT, "auroc")
-    return ci_round(rb.intervals(draws, ["stratum"], AUDIT, share=0.8, at_least=100))
+    draws = rp.one_value(pred, blocks, ["group_id"], rp.RANKING, ["model", "stratum"], AUDIT, "auroc")
+    return ci_round(rb.intervals(draws, ["model", "stratum"], AUDIT, share=0.8, at_least=100))
 
 
 _DISP = f"{_PCT}, dd as (select *, d as rank_dispersion from disp)"

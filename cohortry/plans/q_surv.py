@@ -116,15 +116,14 @@ def h07(spark, sf):
     return rounded(out, 6, "sample_weighted_c", "pair_weighted_c")
 
 
-@query("h08_orientation", "with " + pair_sql("stratum", source="(select * from predictions where model='price')", name="pr") + f"""
-select stratum, {C} c_as_given, round((pairs-concordant-0.5*tied)/nullif(pairs,0), 6) c_negated from pr""", ("predictions",))
+@query("h08_orientation", "with " + pair_sql("model, stratum") + f"""
+select model, stratum, {C} c_as_given, round((pairs-concordant-0.5*tied)/nullif(pairs,0), 6) c_negated from pr""", ("predictions",))
 def h08(spark, sf):
-    pred = predictions(spark, sf).where("model = 'price'").withColumn("negated", -F.col("score"))
-    given = concordance(pred, ["stratum"]).select("stratum", F.round("c_index", 6).alias("c_as_given"))
-    turned = concordance(pred, ["stratum"], risk="negated").select(
-        "stratum", F.round("c_index", 6).alias("c_negated")
-    )
-    return given.join(turned, "stratum")
+    pred = predictions(spark, sf).withColumn("negated", -F.col("score"))
+    keys = ["model", "stratum"]
+    given = concordance(pred, keys).select(*keys, F.round("c_index", 6).alias("c_as_given"))
+    turned = concordance(pred, keys, risk="negated").select(*keys, F.round("c_index", 6).alias("c_negated"))
+    return given.join(turned, keys)
 
 
 @query("h09_outcome_pairs", """

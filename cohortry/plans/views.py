@@ -5,7 +5,7 @@
 ``alter``        binary alteration list: customer x brand with a large quantity
 ``expr``         expression-like matrix: customer x brand quantity sums
 ``genes``        expression-like matrix over the program gene symbols
-``seqs``         upper-case words of whole documents, as repertoire sequences
+``seqs``         every word of whole documents in upper case, as repertoire sequences
 ``repeats``      repeated scores per user from the event stream
 ``responses``    scored responses from the event stream
 """
@@ -90,11 +90,9 @@ def expr(spark: SparkSession, sf: str) -> DataFrame:
 
 def seqs(spark: SparkSession, sf: str) -> DataFrame:
     words = table(spark, sf, "documents").select(
-        F.col("doc_id").alias("sample_id"), F.explode(F.split("text", "[ \n]+")).alias("w")
-    )
-    return words.where(F.col("w").rlike("^[A-Za-z]+$")).select(
-        "sample_id", F.upper(F.trim("w")).alias("seq")
+        F.col("doc_id").alias("sample_id"), F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w")
     )
+    return words.where("w <> ''").select("sample_id", F.upper("w").alias("seq"))
 
 
 def repeats(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,8 +155,8 @@ SQL = {
     "expr": f"select unit_id, p_brand feature, sum(l_quantity) as value from ({_CUSTOMER_BRAND}) group by 1,2",
     "genes": f"""select unit_id, ([{','.join("'" + g + "'" for g in GENES)}])[p_partkey % {len(GENES)} + 1] gene,
  sum(l_quantity) as value from ({_CUSTOMER_BRAND}) group by 1,2""",
-    "seqs": """select doc_id sample_id, upper(trim(w)) seq from
- (select doc_id, unnest(regexp_split_to_array(text,'[ \\n]+')) w from documents) where regexp_full_match(w,'[A-Za-z]+')""",
+    "seqs": """select doc_id sample_id, upper(replace(w,'ß','ss')) seq from
+ (select doc_id, unnest(regexp_split_to_array(text,'[\\x20\\x09-\\x0D]+')) w from documents) where w<>''""",
     "repeats": """select user_id sample_id, event_type, cast(day(ts)%20 as int) repeat_seed, avg(value) risk_score
  from events group by 1,2,3""",
     "responses": """select event_id sample_id, event_type, cast(json_extract(props,'$.k') as double)/100 support_score, value from events""",

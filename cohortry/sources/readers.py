@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.contracts import enforce, id_set_equal, unique_key
@@ -81,13 +84,48 @@ def companion(predictions: DataFrame, summaries: DataFrame, path: str, value: st
     return predictions.withColumn("_stem", stem(F.col(path))).join(right, "_stem", "left").drop("_stem")
 
 
-def file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, bytes, sha256) per file below ``path``."""
+def _open_stream(path: str):
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem().open_input_stream("/" + path.removeprefix("file:").lstrip("/"))
+    system, inner = pafs.FileSystem.from_uri(path)
+    return system.open_input_stream(inner)
+
+
+def _streamed_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests = []
+        for path in batch.column("path").to_pylist():
+            digest = hashlib.sha256()
+            with _open_stream(path) as source:
+                while piece := source.read(PIECE_BYTES):
+                    digest.update(piece)
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], ["path", "bytes", "sha256"])
+
+
+#: Files up to so many bytes are read in one piece; larger ones are streamed in pieces.
+WHOLE_BYTES = 64 << 20
+PIECE_BYTES = 8 << 20
+
+
+def file_inventory(spark: SparkSession, path: str, pattern: str = "*", whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """(path, bytes, sha256) per file below ``path``, of any size; Spark's listing leaves out empty files.
+
+    Sizes come from the listing.  Files up to ``whole_bytes`` are hashed by built-in functions, larger ones by a
+    task each that holds ``PIECE_BYTES`` at a time; it opens them as local (shared) files or by their address.
+    """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern).load(path)
     )
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    size = F.col("length").alias("bytes")
+    small = files.where(F.col("length") <= whole_bytes).select("path", size, F.sha2("content", 256).alias("sha256"))
+    listed = files.where(F.col("length") > whole_bytes).select("path", size)
+    count = listed.count()
+    if not count:
+        return small
+    spread = listed.repartition(min(count, 10_000), "path")
+    return small.unionByName(spread.mapInArrow(_streamed_digests, "path string, bytes bigint, sha256 string"))
 
 
 def drop_identical(inventory: DataFrame, priority: Column) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Incremental decisions: each arriving answer is parsed, decided and appended."""
+"""Incremental decisions: the first answer to each request is parsed, decided and appended."""
 
 from __future__ import annotations
 
@@ -20,11 +20,13 @@ def decide_stream(answers: DataFrame) -> DataFrame:
 
 
 def append_decisions(spark: SparkSession, source: str, sink: str, checkpoint: str) -> None:
-    """Consume all files present under ``source`` once and append to ``sink``.
+    """Consume all files present under ``source`` once and append one decision a request to ``sink``.
 
-    The checkpoint remembers the files, so a later call takes only new ones.
+    The checkpoint remembers the files and, as keyed state, the requests answered so far: a later call takes only
+    new files, and an answer to a request that has one is dropped, also after a restart.  Of several answers that
+    arrive together one stays.  Answers without an id count as one request.
     """
-    answers = spark.readStream.schema(ANSWER_SCHEMA).json(source)
+    answers = spark.readStream.schema(ANSWER_SCHEMA).json(source).dropDuplicates(["sample_id"])
     stream = (
         decide_stream(answers).writeStream.format("parquet").outputMode("append")
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink)
