@@ -31,11 +31,12 @@ _SPLIT = 1 << 20
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words, shuffle key ``h`` (MD5 of the id) and a text hash ``tie`` for repeated ids."""
+    """doc_id, source, size in words, shuffle key ``h`` (MD5 of the id; of the text where that is NULL) and a text hash
+    ``tie`` for repeated ids."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         F.col("doc_id"), F.col("source"), F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), F.xxhash64(text).alias("tie"),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), text)).alias("h"), F.xxhash64(text).alias("tie"),
     )
 
 
@@ -121,7 +122,8 @@ def schedule(sources: DataFrame) -> DataFrame:
 
 def mix(rows: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS, most: float = MOST,
         block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Words taken from each document: doc_id, source, tie, size, source_size, target, taken.
+    """Words taken from each document: doc_id, source, tie, size, source_size, target, taken, and ``slot``, the first slot
+    of the schedule that takes any of them (NULL where nothing is taken).
 
     ``rows`` comes from :func:`sized`. The mix takes the rounded target of each source: whole passes first, then the
     beginning of one more, so a document is taken at most ``ceil(most)`` times. NULL and empty texts have size 0 and are
@@ -153,7 +155,7 @@ def mix(rows: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS, most: float =
         .withColumn("upto", upto).withColumn("full", F.col("upto") == whole)
         .groupBy("s", "b").agg(
             F.sum(F.col("full").cast("bigint")).alias("times"),
-            F.coalesce(F.max(F.when(~F.col("full"), F.col("upto"))), F.lit(0)).alias("cut"),
+            F.coalesce(F.max(F.when(~F.col("full"), F.col("upto"))), F.lit(0)).alias("cut"), F.min("j").alias("j"),
         )
     )
     end = F.col("at") + F.col("size")
@@ -164,18 +166,38 @@ def mix(rows: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS, most: float =
     part = (F.col("times") * (last - first) + F.greatest(F.lit(0), F.least(last, begin + F.col("cut")) - first))
     keys = ["source", "doc_id", "tie", "at", "size", "source_size", "target"]
     taken = (pieces.join(slots, ["s", "b"], "left").groupBy(*keys)
-             .agg(F.coalesce(F.sum(part), F.lit(0)).cast("bigint").alias("taken")))
-    empty = rows.filter("size = 0").select(*keys, F.lit(0).cast("bigint").alias("taken"))
+             .agg(F.coalesce(F.sum(part), F.lit(0)).cast("bigint").alias("taken"),
+                  F.min(F.when(part > 0, F.col("j"))).alias("slot")))
+    nothing = F.lit(0).cast("bigint").alias("taken"), F.lit(None).cast("bigint").alias("slot")
+    empty = rows.filter("size = 0").select(*keys, *nothing)
     return taken.unionByName(empty).drop("at")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: each document as often as the mix takes it (the last, partly taken copy whole)."""
+    """The mixed corpus: each document as often as the mix takes it (the last, partly taken copy whole).
+
+    Any other columns of ``docs`` stay as they are. :func:`in_schedule_order` gives the rows in the order of the schedule.
+    """
+    return _copies(docs, options).select("whole.*")
+
+
+def in_schedule_order(docs: DataFrame, **options) -> DataFrame:
+    """:func:`mixed_documents` along the schedule, by first slot and pass, so any beginning of it is near the weights.
+
+    Rows come sorted over the partitions (a range shuffle of the texts) and lead with ``mix_pass`` and ``mix_slot``.
+    """
+    rows = _copies(docs, options)
+    return rows.orderBy("pass", "slot").select(F.col("pass").alias("mix_pass"), F.col("slot").alias("mix_slot"), "whole.*")
+
+
+def _copies(docs: DataFrame, options: dict) -> DataFrame:
+    """(whole, slot, pass): the documents as one struct, so that their columns meet no others."""
     rows = mix(sized(docs), **options)
     copies = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0)
-    often = (rows.withColumn("copies", copies).groupBy(F.col("doc_id").alias("_id"), "tie")
-             .agg(F.sum("copies").cast("int").alias("copies")).filter("copies > 0"))
-    tied = docs.withColumn("_tie", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    tied = tied.dropDuplicates(["doc_id", "_tie"])
-    return (tied.join(often, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("tie")))
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns))
+    often = (rows.withColumn("copies", copies).groupBy("doc_id", "tie")
+             .agg(F.sum("copies").cast("int").alias("copies"), F.min("slot").alias("slot")).filter("copies > 0"))
+    tied = docs.select(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_tie"),
+                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    tied = tied.dropDuplicates(["id", "text_tie"])
+    met = tied.join(often, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_tie") == F.col("tie")))
+    return met.select("whole", "slot", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("pass"))
