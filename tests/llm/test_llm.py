@@ -70,6 +70,31 @@ def test_mixing_edges(spark, docs, nothing):
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_mixed_documents_keep_clashing_columns(spark, docs):
+    clashing = docs.selectExpr("*", "1 as tie", "2 as copies", "3 as slot", "4 as pass", "5 as whole", "6 as id", "7 as _id")
+    got = mixing.mixed_documents(clashing)
+    assert got.columns == clashing.columns
+    assert {tuple(r)[5:] for r in got.collect()} == {(1, 2, 3, 4, 5, 6, 7)}
+    plain = mixing.mixed_documents(docs)
+    assert sorted(map(str, got.select(*docs.columns).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_beginnings_of_the_mix_are_near_the_weights(spark):
+    rows = [(k, f"w{k} " * 40, None, "abc"[k % 3], 0) for k in range(900)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    ordered = mixing.in_schedule_order(docs, block_words=40)
+    got = [(r.mix_pass, r.mix_slot, r.source) for r in ordered.collect()]
+    assert [g[:2] for g in got] == sorted(g[:2] for g in got)
+    assert sorted(r.doc_id for r in ordered.collect()) == sorted(r.doc_id for r in mixing.mixed_documents(docs).collect())
+    per = mixing.mix(mixing.sized(docs), block_words=40)
+    words = {r.source: r.t for r in per.groupBy("source").agg({"taken": "sum"}).toDF("source", "t").collect()}
+    first = [s for p, _, s in got if p == 1]
+    weights = {s: n / sum(words.values()) for s, n in words.items()}
+    for n in range(20, 200, 20):  # all three sources still have blocks of the first pass
+        for source, weight in weights.items():
+            assert abs(first[:n].count(source) / n - weight) <= 0.12, (n, source)
+
+
 def test_schedule_gives_every_source_its_slots(spark):
     slots = mixing.schedule(spark.createDataFrame([(0, 700), (1, 3), (2, 50)], "s long, slots long"))
     counts = {r["s"]: r["count"] for r in slots.groupBy("s").count().collect()}
@@ -172,6 +197,22 @@ def test_jaccard_matches_sql_on_real_rows(spark):
     assert by_id(jaccard_join.jaccard_components(rows), "doc_id", "n_shingles", "component_id") == sorted(want, key=str)
 
 
+def test_ids_with_different_texts_link_by_each(spark):
+    one, two = ([f"{p}{k}" for k in range(40)] for p in "xy")
+    text = lambda words, *more: " ".join([*words, *more])
+    rows = [(1, text(one)), (1, text(two)), (2, text(one, "a")), (3, text(two, "b")), (4, text(one, "c")), (5, text(two, "d")),
+            (1, ""), (1, None), (6, "alone here"), (7, text(two, "b")), (6, text(one[::-1])), (6, ""), (8, ""), (None, text(two))]
+    want = sorted(((d, _brute(rows)[d]) for d, _ in rows if d is not None), key=str)
+    for order in (rows, rows[::-1], rows[5:] + rows[:5]):
+        docs = spark.createDataFrame([(d, t, "x") for d, t in order], "doc_id long, text string, name string").repartition(3)
+        found = jaccard_join.jaccard_components(docs).filter("doc_id is not null")
+        assert by_id(found, "doc_id", "component_id") == want
+        kept = jaccard_join.one_of_each(docs)
+        assert kept.columns == docs.columns
+        assert sorted(r.doc_id for r in kept.filter("doc_id is not null and text <> ''").collect()) == [1, 6]
+        assert len({str(jaccard_join.one_of_each(d).filter("doc_id = 6 and text <> ''").collect()) for d in (docs, docs.repartition(5))}) == 1
+
+
 # token files
 
 def test_tokens_round_trip(spark, docs, nothing):
