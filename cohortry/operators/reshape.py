@@ -54,8 +54,8 @@ def with_grid(df: DataFrame, name: str, values: Sequence) -> DataFrame:
 
 
 def pivot_models(df: DataFrame, keys: Sequence[str], models: Sequence[str], value: str = "score") -> DataFrame:
-    """One column per model; a missing cell is an error for the caller to check."""
-    return df.groupBy(*keys).pivot("model", list(models)).agg(F.first(value))
+    """One column per model in one aggregation, the largest of repeated cells; a missing cell is an error for the caller to check."""
+    return df.groupBy(*keys).agg(*[F.max(F.when(F.col("model") == m, F.col(value))).alias(m) for m in models])
 
 
 def overlay(retained: DataFrame, refit: DataFrame, keys: Sequence[str]) -> DataFrame:
