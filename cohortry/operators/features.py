@@ -128,13 +128,16 @@ def theme_tags(
     prefixes: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """One row per (row, theme): set membership plus prefix themes, without duplicates."""
-    dim = set_dim(df.sparkSession, themes or fv.EXPRESSION_THEMES, "theme").select("theme", "gene")
-    tagged = df.join(F.broadcast(dim), "gene")  # fixed table of some hundred rows
-    for prefix, theme in (prefixes or {}).items():
-        tagged = tagged.unionByName(
-            df.where(F.col("gene").startswith(prefix)).withColumn("theme", F.lit(theme))
-        )
-    return tagged.dropDuplicates([*df.columns, "theme"]) if prefixes else tagged
+    dim = set_dim(df.sparkSession, themes or fv.EXPRESSION_THEMES, "theme")
+    if not prefixes:
+        return df.join(F.broadcast(dim.select("theme", "gene")), "gene")  # fixed table of some hundred rows
+    # the themes of a row come from one pass over it
+    listed = F.broadcast(dim.groupBy("gene").agg(F.collect_list("theme").alias("_listed")))
+    by_prefix = F.array(*[F.when(F.col("gene").startswith(p), F.lit(theme)) for p, theme in prefixes.items()])
+    found = F.concat(F.coalesce("_listed", F.array().cast("array<string>")), by_prefix)
+    held = F.array_distinct(F.filter(found, lambda t: t.isNotNull()))
+    tagged = df.join(listed, "gene", "left").withColumn("theme", F.explode(held)).drop("_listed")
+    return tagged.dropDuplicates([*df.columns, "theme"])
 
 
 def theme_snapshot(tagged: DataFrame, unit: str = "unit_id", keep: int = 5) -> DataFrame:
