@@ -7,11 +7,15 @@ feature), so a window partition never exceeds the feature vocabulary.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import itertools
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import fixed_values as fv
+from ..functions.lineage import settle
 from ..functions.scalars import cascade, fixed3, safe_ratio
 from .contracts import enforce, key_text
 from .ordered import exact_quantiles, with_average_rank
@@ -32,19 +36,43 @@ def set_dim(spark: SparkSession, sets: Mapping[str, Sequence[str]], name: str =
 # ------------------------------------------------------------- repertoires
 
 
+_LETTERS = len(fv.AMINO_ACIDS)
+_CODE = np.full(256, -1, dtype=np.int64)
+_CODE[list(fv.AMINO_ACIDS.encode())] = np.arange(_LETTERS)
+_TRIPLETS = pa.array(["".join(x) for x in itertools.product(fv.AMINO_ACIDS, repeat=3)])
+
+
+def _count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Valid windows of a batch of sequences, one row per (sample, triplet).
+
+    Letters of the alphabet are single bytes, so valid windows of bytes and of characters are the same.
+    """
+    for batch in batches:
+        sample = batch.column(0).dictionary_encode(null_encoding="encode")
+        of_row = sample.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        text = batch.column(1).cast(pa.large_binary())
+        at = np.frombuffer(text.buffers()[1], np.int64)[text.offset: text.offset + len(text) + 1]
+        code = _CODE[np.frombuffer(text.buffers()[2], np.uint8)[at[0]: at[-1]]]
+        row = np.repeat(np.arange(len(text)), np.diff(at))
+        a, b, c = code[:-2], code[1:-1], code[2:]
+        valid = ((a | b | c) >= 0) & (row[:-2] == row[2:])
+        triplet = (a * _LETTERS + b) * _LETTERS + c
+        key, n = np.unique((of_row[row[:-2]] * len(_TRIPLETS) + triplet)[valid], return_counts=True)
+        yield pa.RecordBatch.from_arrays([
+            sample.dictionary.take(pa.array(key // len(_TRIPLETS))), _TRIPLETS.take(pa.array(key % len(_TRIPLETS))),
+            pa.array(n, pa.int64()),
+        ], names=[batch.schema.names[0], "triplet", "_n"])
+
+
 def triplet_counts(seqs: DataFrame, sample: str = "sample_id", seq: str = "seq") -> DataFrame:
     """(sample, triplet, count) of the valid 3-letter windows inside sequences longer than three.
 
-    Letters outside the alphabet are masked once per sequence, so each window
-    needs only a cheap containment test.
+    Tasks count the windows of a batch in arrays; batches of a sample are added by Spark.
     """
-    masked = F.regexp_replace(F.upper(F.trim(F.col(seq))), f"[^{fv.AMINO_ACIDS}]", "*")
-    eligible = seqs.select(sample, masked.alias("_s")).where(F.length("_s") > 3)
-    at = eligible.select(sample, "_s", F.explode(F.sequence(F.lit(1), F.length("_s") - 2)).alias("_i"))
-    windows = at.select(sample, F.expr("substring(_s, _i, 3)").alias("triplet"))
-    return windows.where(F.instr("triplet", "*") == 0).groupBy(sample, "triplet").agg(
-        F.count(F.lit(1)).alias("count")
-    )
+    eligible = seqs.select(sample, F.upper(F.trim(F.col(seq))).alias("_s")).where(F.length("_s") > 3)
+    kind = eligible.schema[sample].dataType.simpleString()
+    windows = eligible.mapInArrow(_count_windows, f"`{sample}` {kind}, triplet string, _n bigint")
+    return windows.groupBy(sample, "triplet").agg(F.sum("_n").alias("count"))
 
 
 def without_windows(seqs: DataFrame, sample: str = "sample_id") -> DataFrame:
@@ -334,22 +362,27 @@ def motif_dim(motifs: DataFrame, motif: str = "triplet") -> DataFrame:
 
 def repertoire_shape(counts: DataFrame, sample: str = "sample_id") -> DataFrame:
     """Totals, top shares, normalised entropy and ECDF positions per sample."""
-    order = W.partitionBy(sample).orderBy(F.desc("count"), "triplet")
-    ranked = counts.withColumn("_r", F.row_number().over(order)).withColumn("_c", F.col("count").cast("double"))
-    share = lambda k: F.sum(F.when(F.col("_r") <= k, F.col("_c")).otherwise(0.0)) / F.sum("_c")
+    # one row per (sample, count): shares of the top k need no order among equal counts
+    levels = counts.groupBy(sample, "count").agg(F.count(F.lit(1)).alias("_m"))
+    higher = W.partitionBy(sample).orderBy(F.desc("count")).rowsBetween(W.unboundedPreceding, -1)
+    ranked = levels.withColumn("_above", F.coalesce(F.sum("_m").over(higher), F.lit(0)))
+    ranked = ranked.withColumn("_c", F.col("count").cast("double"))
+    taken = lambda k: F.least(F.col("_m"), F.greatest(F.lit(0), k - F.col("_above")))
+    share = lambda k: F.sum(F.col("_c") * taken(k)) / F.sum(F.col("_c") * F.col("_m"))
     sums = ranked.groupBy(sample).agg(
-        F.sum("count").alias("total"),
-        F.count(F.lit(1)).alias("active"),
+        F.sum(F.col("count") * F.col("_m")).alias("total"),
+        F.sum("_m").alias("active"),
         share(1).alias("top1_share"),
         share(3).alias("top3_share"),
         share(5).alias("top5_share"),
-        F.sum(F.col("_c") * F.log("_c")).alias("_clogc"),
+        F.sum(F.col("_c") * F.log("_c") * F.col("_m")).alias("_clogc"),
     )
     # entropy = log(total) - sum(c log c) / total
     entropy = F.log("total") - F.col("_clogc") / F.col("total")
     shaped = sums.withColumn(
         "normalized_entropy", F.when(F.col("active") > 1, entropy / F.log("active")).otherwise(0.0)
     ).drop("_clogc")
+    shaped = settle(shaped)  # read by both ranks and the result
     for source, out in (("total", "total_percentile"), ("active", "richness_percentile")):
         shaped = with_average_rank(shaped, [], source, "_rank").withColumn(
             out, F.col("_upto") / F.col("_n")
@@ -366,7 +399,8 @@ def chemistry(counts: DataFrame, shape: DataFrame, sample: str = "sample_id") ->
     shares = counts.groupBy("triplet").agg(F.count(F.lit(1)).alias("_carriers")).withColumn(
         "_rarity", 1 - F.col("_carriers") / n_samples
     )
-    dim = motif_dim(counts).join(shares, "triplet")  # at most 20^3 rows
+    shares = settle(shares)
+    dim = F.broadcast(motif_dim(shares).join(shares, "triplet"))  # at most 20^3 rows
     joined = counts.join(dim, "triplet").withColumn("_w", F.col("count").cast("double"))
     tag_sums = [
         F.sum(F.when(F.array_contains("tags", t), F.col("_w")).otherwise(0.0)).alias(f"{t}_fraction")
